@@ -1,0 +1,21 @@
+"""Joins that stay even when one key owns a large part of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+SALTS = 16
+
+
+def spread_join(big: DataFrame, small: DataFrame, keys: list[str], bounded: bool = False, salts: int = SALTS) -> DataFrame:
+    """Inner join of a big, possibly skewed side with a side that has few rows per key.
+
+    With a side bounded by its construction (`bounded`: schema-sized, or cut by a limit) the small side is
+    broadcast and the big side does not move. Otherwise every key of the big side is split over `salts`
+    tasks and the small side is repeated once per salt, so no key lands in one task.
+    """
+    if bounded:
+        return big.join(F.broadcast(small), keys)
+    salted = big.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(repeated, [*keys, "_salt"]).drop("_salt")
