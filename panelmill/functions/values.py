@@ -93,6 +93,9 @@ def to_timestamp_or_null(column: Column, data_type: T.DataType, formats: list[st
     if family == DATETIME:
         return column.cast("timestamp")
     if family == NUMERIC:
+        if isinstance(data_type, T.IntegralType):
+            # Whole numbers stay whole: a double cannot hold today's nanoseconds.
+            return F.timestamp_micros(F.call_function("div", column - F.pmod(column, F.lit(1000)), F.lit(1000)))
         return F.timestamp_micros(F.floor(column / F.lit(1000)).try_cast("bigint"))
     if family == CATEGORICAL:
         if not formats:

@@ -38,16 +38,17 @@ def day_scale(micros: Column) -> Column:
     return micros.cast("double") / 86_400e6
 
 
-def quantile_table(df: DataFrame, keys: list[str], value: str, probabilities: list[float],
-                   scale: Callable[[Column], Column] = log_scale, few_groups: bool = False) -> DataFrame:
-    """`keys`, `probability`, `result` (double): linear interpolation between the two nearest ranks.
+def quantile_columns(df: DataFrame, keys: list[str], value: str, names: dict[str, float],
+                     scale: Callable[[Column], Column] = log_scale, few_groups: bool = False) -> DataFrame:
+    """`keys` and one double per name and probability: linear interpolation between the two nearest ranks.
 
-    `df` holds `keys` and a numeric `value` without NaN; null values are skipped. `few_groups` states that
-    the number of groups is bounded (column names, or keys cut by a limit), so the chosen buckets, at most
-    two per probability and group, may be broadcast.
+    `df` holds `keys` and a numeric `value` without NaN; null values are skipped, and groups without any
+    value are absent. `few_groups` states that the number of groups is bounded (column names, or keys cut
+    by a limit), so the chosen buckets, at most two per probability and group, may be broadcast.
     """
+    probabilities = list(names.values())
     if not keys:
-        raise SpecError("quantile_table needs at least one key column")
+        raise SpecError("quantiles need at least one key column")
     scaled = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), scale(F.col(value)).alias("_s"))
     rows = scaled.select(
         *keys, "_v",
@@ -61,7 +62,7 @@ def quantile_table(df: DataFrame, keys: list[str], value: str, probabilities: li
     folders = _counted(spread_join(rows, in_drawer, drawer, few_groups), [*folder, "_asks"])
     in_folder = _narrow(folders, drawer, "_folder")
     pages = _counted(spread_join(rows, in_folder, folder, few_groups), [*folder, "_v", "_asks"])
-    return _interpolate(_narrow(pages, folder, "_v"), keys, probabilities)
+    return _interpolate(_narrow(pages, folder, "_v"), keys, names)
 
 
 def _counted(rows: DataFrame, bucket: list[str]) -> DataFrame:
@@ -91,19 +92,11 @@ def _narrow(counted: DataFrame, group: list[str], bucket: str) -> DataFrame:
     return asked.select(*group, bucket, inner.alias("_asks")).where(F.size("_asks") > 0)
 
 
-def _interpolate(found: DataFrame, keys: list[str], probabilities: list[float]) -> DataFrame:
+def _interpolate(found: DataFrame, keys: list[str], names: dict[str, float]) -> DataFrame:
     each = found.select(*keys, F.col("_v").cast("double").alias("_v"), F.explode("_asks").alias("_ask"))
-    asked = F.element_at(F.array(*[F.lit(float(p)) for p in probabilities]), F.col("_ask.i") + 1)
-    rows = each.select(*keys, "_v", asked.alias("probability"), F.col("_ask.total").alias("_total"))
-    at = (F.max("_total") - 1) * F.col("probability")
-    low, high = F.min("_v"), F.max("_v")
-    result = F.when(low == high, low).otherwise(low + (high - low) * (at - F.floor(at)))
-    return rows.groupBy(*keys, "probability").agg(result.alias("result"))
-
-
-def quantile_columns(df: DataFrame, keys: list[str], value: str, names: dict[str, float],
-                     scale: Callable[[Column], Column] = log_scale, few_groups: bool = False) -> DataFrame:
-    """The quantiles of each group as named columns; groups without any value are absent."""
-    table = quantile_table(df, keys, value, sorted(set(names.values())), scale, few_groups)
-    picks = [F.max(F.when(F.col("probability") == F.lit(p), F.col("result"))).alias(n) for n, p in names.items()]
-    return table.groupBy(*keys).agg(*picks)
+    results = []
+    for i, (name, p) in enumerate(names.items()):
+        mine = F.when(F.col("_ask.i") == i, F.col("_v"))
+        low, high, at = F.min(mine), F.max(mine), _place(F.max("_ask.total"), p)
+        results.append(F.when(low == high, low).otherwise(low + (high - low) * (at - F.floor(at))).alias(name))
+    return each.groupBy(*keys).agg(*results)
