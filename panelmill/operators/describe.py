@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import families as fam
 from ..functions.values import as_micros, clean, raw
 from .counts import pair_counts, with_all_columns
-from .quantiles import day_scale, log_scale, quantile_columns
+from .quantiles import day_scale, root_scale, quantile_columns
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 # Columns per aggregate: generated code stays within what the JVM compiles. Each batch reads its own columns.
@@ -42,7 +42,7 @@ def describe_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFra
     """`column`, `count`, `mean`, `std`, `min`, quartiles, `max`; the quartiles are exact."""
     columns = columns or fam.numeric_columns(df)
     values = df.select(*[clean(df, c).cast("double").alias(c) for c in columns])
-    return _moments(values, columns).join(_quartiles(values, columns, log_scale), "column", "left")
+    return _moments(values, columns).join(_quartiles(values, columns, root_scale), "column", "left")
 
 
 def _moments(values: DataFrame, columns: list[str]) -> DataFrame:

@@ -47,8 +47,9 @@ def group_reduce(df: DataFrame, key: str, measures: dict[str, tuple[str, str]],
         if name in QUANTILES:
             values = rows.select("key", measure_input(df, column, name).alias("_x"))
             found = quantile_columns(values, ["key"], "_x", {alias: QUANTILES[name]}, few_groups=keys is not None)
-            base = result if result is not None else rows.select("key").distinct()
-            result = base.join(found, "key", "left")
+            if result is None:
+                result = keys if keys is not None else rows.select("key").distinct()
+            result = result.join(found, "key", "left")
     return result.select("key", *[raw(a) for a in measures])
 
 

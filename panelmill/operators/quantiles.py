@@ -8,29 +8,32 @@ looks only at rows in the buckets that hold a wanted rank:
     drawer = floor(s(v)), folder = the next 12 binary digits of s(v), page = v itself
 
 where the scale s never decreases as v grows. Only values of one folder are ever put in order one by
-one, in a running count that spills to disk if it must. The cost is three narrow scans and three small
+one, in a running count that spills to disk if it must. The cost is three narrow scans and a few small
 shuffles, for any number of rows, groups and probabilities.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..errors import SpecError
+from ..functions.values import quoted
 from .joins import spread_join
 
-FOLDERS = 4096.0
-# 64 * ln(1 + v) of the largest double is below this: infinities share the outermost drawers.
-REACH = 64.0 * 710.0
+DRAWERS, FOLDERS = 4096.0, 4096.0
+# The 64th root of 1e77: the few numbers beyond share the outermost drawers.
+REACH = 16.0
 
 
-def log_scale(value: Column) -> Column:
-    """Drawers about 1.6 % wide, for numbers of any size and sign."""
+def root_scale(value: Column) -> Column:
+    """Drawers about 1.5 % wide for numbers of common size, finer for tiny ones: the 64th root by six
+    square roots, each rounded correctly and so never decreasing."""
     v = value.cast("double")
-    s = F.signum(v) * F.log1p(F.abs(v)) * 64.0
-    return F.greatest(F.least(s, F.lit(REACH)), F.lit(-REACH))
+    root = reduce(lambda x, _: F.sqrt(x), range(6), F.abs(v))
+    return F.signum(v) * F.least(root, F.lit(REACH)) * DRAWERS
 
 
 def day_scale(micros: Column) -> Column:
@@ -39,64 +42,59 @@ def day_scale(micros: Column) -> Column:
 
 
 def quantile_columns(df: DataFrame, keys: list[str], value: str, names: dict[str, float],
-                     scale: Callable[[Column], Column] = log_scale, few_groups: bool = False) -> DataFrame:
+                     scale: Callable[[Column], Column] = root_scale, few_groups: bool = False) -> DataFrame:
     """`keys` and one double per name and probability: linear interpolation between the two nearest ranks.
 
     `df` holds `keys` and a numeric `value` without NaN; null values are skipped, and groups without any
     value are absent. `few_groups` states that the number of groups is bounded (column names, or keys cut
     by a limit), so the chosen buckets, at most two per probability and group, may be broadcast.
     """
-    probabilities = list(names.values())
     if not keys:
         raise SpecError("quantiles need at least one key column")
     scaled = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), scale(F.col(value)).alias("_s"))
-    rows = scaled.select(
-        *keys, "_v",
-        F.floor("_s").alias("_drawer"),
-        F.floor((F.col("_s") - F.floor("_s")) * FOLDERS).cast("int").alias("_folder"),
-    )
+    rows = scaled.selectExpr(
+        *[quoted(k) for k in keys], "_v", "floor(_s) AS _drawer", f"int(floor((_s - floor(_s)) * {FOLDERS}D)) AS _folder")
     drawer, folder = [*keys, "_drawer"], [*keys, "_drawer", "_folder"]
-    drawers = _counted(rows, drawer).withColumn("_total", F.sum("_n").over(Window.partitionBy(*keys)))
-    in_drawer = _narrow(drawers.withColumn("_asks", _ranks(F.col("_total"), probabilities)), keys, "_drawer")
-    # The ranks ride along as a grouping column: rows of one bucket all carry the same ones.
-    folders = _counted(spread_join(rows, in_drawer, drawer, few_groups), [*folder, "_asks"])
-    in_folder = _narrow(folders, drawer, "_folder")
-    pages = _counted(spread_join(rows, in_folder, folder, few_groups), [*folder, "_v", "_asks"])
-    return _interpolate(_narrow(pages, folder, "_v"), keys, names)
+    total = F.sum("_n").over(Window.partitionBy(*keys))
+    drawers = _counted(rows, drawer).withColumns({"_total": total, "_start": F.lit(0).cast("bigint")})
+    in_drawer = _holding(drawers, keys, "_drawer", names).drop("_n", "_until")
+    # Total and start are constant within a bucket; they ride along as grouping columns.
+    folders = _counted(spread_join(rows, in_drawer, drawer, few_groups), [*folder, "_total", "_start"])
+    in_folder = _holding(folders, drawer, "_folder", names).drop("_n", "_until")
+    pages = _counted(spread_join(rows, in_folder, folder, few_groups), [*folder, "_v", "_total", "_start"])
+    return _interpolate(_holding(pages, folder, "_v", names), keys, names)
 
 
 def _counted(rows: DataFrame, bucket: list[str]) -> DataFrame:
     return rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n"))
 
 
-def _place(total: Column, probability: float) -> Column:
-    return (total - 1) * F.lit(float(probability))
+def _place(probability: float) -> str:
+    """Where a probability falls between the first value (0) and the last (total - 1)."""
+    return f"((_total - 1) * {float(probability)!r}D)"
 
 
-def _ranks(total: Column, probabilities: list[float]) -> Column:
-    """The wanted ranks of a group, from 1: the two neighbours of every probability."""
-    asks = []
-    for i, p in enumerate(probabilities):
-        for rank in (F.floor(_place(total, p)) + 1, F.ceil(_place(total, p)) + 1):
-            asks.append(F.struct(F.lit(i).alias("i"), rank.alias("rank"), total.alias("total")))
-    return F.array(*asks)
+def _low(p: float) -> str:
+    """Whether the rank just below the probability's place is in this bucket."""
+    return f"(floor({_place(p)}) + 1 > _start AND floor({_place(p)}) + 1 <= _until)"
 
 
-def _narrow(counted: DataFrame, group: list[str], bucket: str) -> DataFrame:
-    """The buckets of a group that hold a wanted rank, with the ranks counted from the bucket's start."""
-    running = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, 0)
-    asked = counted.select(*group, bucket, "_n", F.sum("_n").over(running).alias("_until"), "_asks")
-    before = F.col("_until") - F.col("_n")
-    own = F.filter("_asks", lambda a: (a["rank"] > before) & (a["rank"] <= F.col("_until")))
-    inner = F.transform(own, lambda a: a.withField("rank", a["rank"] - before))
-    return asked.select(*group, bucket, inner.alias("_asks")).where(F.size("_asks") > 0)
+def _high(p: float) -> str:
+    return f"(ceil({_place(p)}) + 1 > _start AND ceil({_place(p)}) + 1 <= _until)"
+
+
+def _holding(counted: DataFrame, group: list[str], bucket: str, names: dict[str, float]) -> DataFrame:
+    """The buckets that hold a wanted rank of their group: `_start` rows come before, `_until` with it."""
+    running = F.sum("_n").over(Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counted.withColumn("_until", F.col("_start") + running).withColumn("_start", F.col("_until") - F.col("_n"))
+    return placed.where(" OR ".join(side(p) for p in names.values() for side in (_low, _high)))
 
 
 def _interpolate(found: DataFrame, keys: list[str], names: dict[str, float]) -> DataFrame:
-    each = found.select(*keys, F.col("_v").cast("double").alias("_v"), F.explode("_asks").alias("_ask"))
-    results = []
+    ends, results = [F.max("_total").alias("_total")], []
     for i, (name, p) in enumerate(names.items()):
-        mine = F.when(F.col("_ask.i") == i, F.col("_v"))
-        low, high, at = F.min(mine), F.max(mine), _place(F.max("_ask.total"), p)
-        results.append(F.when(low == high, low).otherwise(low + (high - low) * (at - F.floor(at))).alias(name))
-    return each.groupBy(*keys).agg(*results)
+        ends += [F.expr(f"max(CASE WHEN {_low(p)} THEN double(_v) END) AS _low{i}"),
+                 F.expr(f"max(CASE WHEN {_high(p)} THEN double(_v) END) AS _high{i}")]
+        between = f"_low{i} + (_high{i} - _low{i}) * ({_place(p)} - floor({_place(p)}))"
+        results.append(f"CASE WHEN _low{i} = _high{i} THEN _low{i} ELSE {between} END AS {quoted(name)}")
+    return found.groupBy(*keys).agg(*ends).selectExpr(*[quoted(k) for k in keys], *results)

@@ -71,14 +71,13 @@ def _bars(df: DataFrame, spec: ChartSpec, aggregation: str) -> DataFrame:
     kept = _ranked(df, spec, aggregation)
     label = label_text(F.col("key"), fam.type_of(kept, "key"))
     points = kept.select("ordinal", label.alias("label"), "value")
+    caption, percentage = F.col("label"), F.lit(None).cast("double")
     if spec.chart_type in PIE_TYPES or spec.show_percentages:
-        points = _with_share(points, spec.limit)
-    else:
-        points = points.withColumn("percentage", F.lit(None).cast("double")).withColumn("_shared", F.lit(False))
-    on_pie = F.col("_shared") & F.lit(spec.chart_type in PIE_TYPES)
-    caption = F.when(on_pie, percent_label(F.col("label"), F.col("percentage"))).otherwise(F.col("label"))
+        points, percentage = _with_share(points, spec.limit), F.col("percentage")
+        if spec.chart_type in PIE_TYPES:
+            caption = F.when(F.col("_shared"), percent_label(caption, percentage)).otherwise(caption)
     fill = colors.color_at(F.col("ordinal"), spec.color_scheme)
-    return points.select("ordinal", "label", caption.alias("caption"), "value", "percentage", fill.alias("color"))
+    return points.select("ordinal", "label", caption.alias("caption"), "value", percentage.alias("percentage"), fill.alias("color"))
 
 
 def _ranked(df: DataFrame, spec: ChartSpec, aggregation: str) -> DataFrame:

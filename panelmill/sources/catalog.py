@@ -114,6 +114,21 @@ def public_documents(dashboards: DataFrame) -> DataFrame:
                              "file_url", "user_id")
 
 
+def page_document(listed: DataFrame) -> DataFrame:
+    """One row, `document`: the JSON answer to a list request, from a page that `list_page` cut to its limit.
+
+    `page_size` counts the dashboards shown, `total` all there are.
+    """
+    shown = public_documents(listed).withColumn("_at", F.struct("created_at", "dashboard_id"))
+    body = F.to_json(F.struct("dashboard_id", "dashboard_config", "status", "created_at", "file_url", "user_id"),
+                     {"ignoreNullFields": "false"})
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_at", body.alias("body")))), lambda d: d["body"])
+    total = F.coalesce(listed.agg(F.max("total").alias("total")).scalar(), F.lit(0).cast("bigint"))
+    return shown.agg(ordered.alias("d")).select(F.concat(
+        F.lit('{"dashboards":['), F.concat_ws(",", "d"), F.lit('],"page_size":'), F.size("d").cast("string"),
+        F.lit(',"total":'), total.cast("string"), F.lit("}")).alias("document"))
+
+
 def owned(requests: DataFrame, dashboards: DataFrame, keys: list[str] = ["dashboard_id", "user_id"]) -> DataFrame:
     """Requests whose dashboard belongs to the user who asks."""
     return requests.join(dashboards.select(*keys), keys, "left_semi")

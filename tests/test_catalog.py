@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,6 +32,16 @@ def test_create_read_and_page(spark, place):
     assert [(r["dashboard_id"], r["total"]) for r in page] == [("c", 2)]
 
 
+def test_page_document(spark, place):
+    versions = catalog.read(spark, place)
+    document = json.loads(catalog.page_document(catalog.list_page(versions, limit=2)).first()["document"])
+    assert (document["page_size"], document["total"]) == (2, 3)
+    assert [d["dashboard_id"] for d in document["dashboards"]] == ["a", "b"]
+    assert document["dashboards"][0]["dashboard_config"] == {"title": "A", "charts": [], "insights": "", "summary": "", "key_metrics": []}
+    empty = json.loads(catalog.page_document(catalog.list_page(versions, owner=9)).first()["document"])
+    assert empty == {"dashboards": [], "page_size": 0, "total": 0}
+
+
 def test_random_ids(spark, tmp_path):
     df = config(spark, [("x", "A", "[]", 1)] * 3).drop("dashboard_id")
     catalog.append(catalog.new_versions(df), f"{tmp_path}/c")
