@@ -21,11 +21,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..errors import SpecError
 from ..functions.values import quoted
+from ..session import ensure_checkpoint_dir
 from .joins import spread_join
 
 DRAWERS, FOLDERS = 4096.0, 4096.0
 # The 64th root of 1e77: the few numbers beyond share the outermost drawers.
 REACH = 16.0
+# Rows of a group that `percentile` may hold in one task, and how many larger groups a broadcast may name.
+SMALL_GROUP, MOST_LARGE_GROUPS = 100_000, 100_000
 
 
 def root_scale(value: Column) -> Column:
@@ -42,12 +45,14 @@ def day_scale(micros: Column) -> Column:
 
 
 def quantile_columns(df: DataFrame, keys: list[str], value: str, names: dict[str, float],
-                     scale: Callable[[Column], Column] = root_scale, few_groups: bool = False) -> DataFrame:
+                     scale: Callable[[Column], Column] = root_scale, few_groups: bool = False,
+                     only: DataFrame | None = None) -> DataFrame:
     """`keys` and one double per name and probability: linear interpolation between the two nearest ranks.
 
     `df` holds `keys` and a numeric `value` without NaN; null values are skipped, and groups without any
     value are absent. `few_groups` states that the number of groups is bounded (column names, or keys cut
-    by a limit), so the chosen buckets, at most two per probability and group, may be broadcast.
+    by a limit), so the chosen buckets, at most two per probability and group, may be broadcast. `only`
+    restricts the groups to a bounded table of keys.
     """
     if not keys:
         raise SpecError("quantiles need at least one key column")
@@ -56,7 +61,9 @@ def quantile_columns(df: DataFrame, keys: list[str], value: str, names: dict[str
         *[quoted(k) for k in keys], "_v", "floor(_s) AS _drawer", f"int(floor((_s - floor(_s)) * {FOLDERS}D)) AS _folder")
     drawer, folder = [*keys, "_drawer"], [*keys, "_drawer", "_folder"]
     total = F.sum("_n").over(Window.partitionBy(*keys))
-    drawers = _counted(rows, drawer).withColumns({"_total": total, "_start": F.lit(0).cast("bigint")})
+    # Later passes need no restriction: they look only into drawers the first one chose.
+    first = rows if only is None else rows.join(F.broadcast(only), keys, "left_semi")
+    drawers = _counted(first, drawer).withColumns({"_total": total, "_start": F.lit(0).cast("bigint")})
     in_drawer = _holding(drawers, keys, "_drawer", names).drop("_n", "_until")
     # Total and start are constant within a bucket; they ride along as grouping columns.
     folders = _counted(spread_join(rows, in_drawer, drawer, few_groups), [*folder, "_total", "_start"])
@@ -65,6 +72,27 @@ def quantile_columns(df: DataFrame, keys: list[str], value: str, names: dict[str
     return _interpolate(_holding(pages, folder, "_v", names), keys, names)
 
 
+def group_quantiles(df: DataFrame, keys: list[str], value: str, names: dict[str, float]) -> DataFrame:
+    """The same for any number of groups of any size.
+
+    Groups that fit one task with ease use `percentile`, in one shuffle by key. The large ones, found by a
+    count per key, go through the passes above. Finding them runs a job now; their list is checkpointed,
+    and if it is too long to broadcast, every group takes the passes.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    rows = df.where(F.col(value).isNotNull())
+    large = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > SMALL_GROUP).select(*keys)
+    large = large.limit(MOST_LARGE_GROUPS + 1).checkpoint()
+    found = large.count()
+    if found > MOST_LARGE_GROUPS:
+        return quantile_columns(rows, keys, value, names)
+    percentiles = [F.percentile(F.col(value).cast("double"), F.lit(float(p))).alias(n) for n, p in names.items()]
+    if not found:
+        return rows.groupBy(*keys).agg(*percentiles)
+    small = rows.join(F.broadcast(large), keys, "left_anti").groupBy(*keys).agg(*percentiles)
+    return small.unionByName(quantile_columns(rows, keys, value, names, few_groups=True, only=large))
+
+
 def _counted(rows: DataFrame, bucket: list[str]) -> DataFrame:
     return rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n"))
 

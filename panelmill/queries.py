@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from .functions import colors, families as fam, values as val
 from .functions.percent import percent_label
 from .operators import correlation, counts, describe, grouping, ordering, samples
 from .plans import charts, dashboards, ingest, profile, replies
-from .sources import catalog, documents as docs, uploads
+from .sources import catalog, documents as docs, uploads, workbooks
 from .sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -757,6 +757,56 @@ def upload_check(spark, folder):
     return uploads.check_uploads(asked, "name", "size", "mime", max_size=1048576).select("doc_id", "reason", "accepted")
 
 
+def sheets(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as the sheets of many workbooks, one file per customer, in the shape the workbook reader gives."""
+    rows = orders_with_nulls(spark, folder)
+    kinds = {"o_orderkey": "int", "o_orderstatus": "text", "o_totalprice": "float", "o_orderdate": "date", "o_orderpriority": "text"}
+    file = F.concat(F.lit("/landing/c"), F.col("o_custkey").cast("string")).alias(fam.FILE_COLUMN)
+
+    def cell(at: int, name: str, kind: str, text: Column) -> Column:
+        return F.struct(F.lit(at).alias("position"), F.lit(name).alias("column"), F.lit(kind).alias("kind"), text.alias("text"))
+
+    filled = F.array(*[cell(i, n, k, F.col(n).cast("string")) for i, (n, k) in enumerate(kinds.items())])
+    header = F.array(*[cell(i, n, workbooks.HEADER, F.lit(None).cast("string")) for i, n in enumerate(kinds)])
+    order = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    body = rows.withColumn(fam.ROW_COLUMN, F.row_number().over(order).cast("bigint")).select(
+        file, fam.ROW_COLUMN, F.filter(filled, lambda c: c["text"].isNotNull()).alias("cells"))
+    top = rows.select("o_custkey").distinct().select(file, F.lit(0).cast("bigint").alias(fam.ROW_COLUMN), header.alias("cells"))
+    return top.unionByName(body)
+
+
+@query(f"""select o_orderkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority,
+    row_number() over (partition by o_custkey order by o_orderkey) as _row from {NULLED}""")
+def sheet_rows(spark, folder):
+    """Cells of many sheets back to typed rows."""
+    schema = T.StructType.fromDDL("o_orderkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string")
+    return workbooks.typed_rows(sheets(spark, folder), schema).drop(fam.FILE_COLUMN)
+
+
+@query(f"""select '/landing/c' || o_custkey as _file, c as "column", case when n = 0 then 'double' else kind end as data_type, n as present from (
+    select o_custkey, 'o_orderkey' as c, 'bigint' as kind, count(*) as n from {NULLED} group by 1
+    union all select o_custkey, 'o_orderstatus', 'string', count(*) from {NULLED} group by 1
+    union all select o_custkey, 'o_totalprice', 'double', count(o_totalprice) from {NULLED} group by 1
+    union all select o_custkey, 'o_orderdate', 'timestamp', count(*) from {NULLED} group by 1
+    union all select o_custkey, 'o_orderpriority', 'string', count(o_orderpriority) from {NULLED} group by 1)""")
+def sheet_types(spark, folder):
+    """Column types of every sheet from the kinds of its cells."""
+    cells = workbooks.workbook_cells(sheets(spark, folder))
+    return workbooks.column_kinds(cells, [fam.FILE_COLUMN]).select(fam.FILE_COLUMN, "column", "data_type", "present")
+
+
+@query(f"""select '/landing/c' || k as _file, 'Basic Dashboard - c' || k as title,
+    'Analysis of c' || k || ' containing ' || cast(sum(n) over (partition by k) as varchar) || ' rows and 5 columns' as summary,
+    'Distribution of o_orderstatus' as chart, label, n from (select o_custkey as k, o_orderstatus as label, count(*) as n from orders group by all)""")
+def sheet_dashboards(spark, folder):
+    """The rule-based dashboard of every sheet of a folder."""
+    boards = ingest.file_dashboards(sheets(spark, folder))
+    shape = "array<struct<title: string, data: struct<labels: array<string>, datasets: array<struct<data: array<bigint>>>>>>"
+    one = boards.select(fam.FILE_COLUMN, "title", "summary", F.from_json("charts", shape)[0].alias("c"))
+    zipped = F.arrays_zip(F.col("c.data.labels").alias("label"), F.col("c.data.datasets")[0]["data"].alias("n"))
+    return one.select(fam.FILE_COLUMN, "title", "summary", F.col("c.title").alias("chart"), F.inline(zipped))
+
+
 @query()
 def file_check(spark, folder):
     """The table files themselves against the upload rules, by name, size and first bytes."""

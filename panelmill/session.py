@@ -7,7 +7,8 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def local_session(app: str = "panelmill", cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
+def local_session(app: str = "panelmill", cores: str | int = "*", shuffle_partitions: int = 8,
+                  memory: str = "8g") -> SparkSession:
     """A session for tests and laptops. Clusters bring their own session and settings."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
@@ -15,6 +16,7 @@ def local_session(app: str = "panelmill", cores: str | int = "*", shuffle_partit
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         # Without call sites for error messages, declaring a plan takes a third of the time.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelmill.errors import EmptyInputError, OrderRequiredError
 from panelmill.functions import families as fam
-from panelmill.operators import correlation, counts, describe, ordering, samples
+from panelmill.operators import correlation, counts, describe, ordering, quantiles, samples
 from panelmill.operators.quantiles import day_scale, quantile_columns
 from panelmill.plans import profile
 
@@ -43,6 +43,20 @@ def test_quantiles_of_any_values(spark, values):
     assert [row[n] for n in NAMES] == pytest.approx([float(pd.Series(values).quantile(p)) for p in NAMES.values()], rel=1e-9, abs=1e-30)
 
 
+@pytest.mark.parametrize("small, most", [(10**9, 10), (100, 10), (100, 1), (0, 10)])
+def test_quantiles_of_small_and_large_groups(spark, monkeypatch, small, most):
+    monkeypatch.setattr(quantiles, "SMALL_GROUP", small)
+    monkeypatch.setattr(quantiles, "MOST_LARGE_GROUPS", most)
+    rng = random.Random(9)
+    pairs = [(k, rng.gauss(0, 1)) for k, n in (("a", 1000), ("b", 50), ("c", 101), ("d", 1)) for _ in range(n)]
+    df = spark.createDataFrame(pairs + [("e", None)], "k string, v double")
+    found = {r["k"]: [r[n] for n in NAMES] for r in quantiles.group_quantiles(df, ["k"], "v", NAMES).collect()}
+    expected = by_pandas(pairs)
+    assert found.keys() == expected.keys()
+    for key in expected:
+        assert found[key] == pytest.approx(expected[key], rel=1e-12)
+
+
 def test_quantiles_reach_infinity_and_large_whole_numbers(spark):
     df = spark.createDataFrame([("k", float("inf")), ("k", float("-inf")), ("k", 1.0)], "k string, v double")
     (row,) = quantile_columns(df, ["k"], "v", {"low": 0.0, "mid": 0.5, "high": 1.0}).collect()
