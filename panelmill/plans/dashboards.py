@@ -15,6 +15,7 @@ from ..operators import describe
 from ..operators.counts import by_count, value_counts
 from ..operators.ordering import first_rows
 from .charts import Spec, payload_of, plan_chart
+from .replies import read_replies
 from .spec import BASIC_LIMIT, DEFAULTS, ChartSpec
 
 # Texts of the rule-based dashboard.
@@ -40,13 +41,14 @@ def selected(specs: list[Spec], chart_types: list[str] | None = None, number_of_
 
 
 def dashboard(df: DataFrame, source: str, document: Mapping[str, Any] | None = None,
-              category: str | None = None, description: str | None = None) -> DataFrame:
+              category: str | None = None, description: str | None = None, chart_types: list[str] | None = None,
+              number_of_charts: int | None = None) -> DataFrame:
     """One row per dashboard: `title, charts, insights, summary, key_metrics, category, metadata`.
 
     `document` is the reply of a model or a hand-written request; without any chart in it the rule-based
     dashboard is built. `charts` and `metadata` are JSON, `key_metrics` an array of structs.
     """
-    specs = list((document or {}).get("charts") or [])
+    specs = selected((document or {}).get("charts") or [], chart_types, number_of_charts)
     if not specs:
         return basic_dashboard(df, source, category, description)
     charts = [chart_document(df, spec, i) for i, spec in enumerate(specs, 1)]
@@ -60,6 +62,13 @@ def dashboard(df: DataFrame, source: str, document: Mapping[str, Any] | None = N
     )
 
 
+def dashboard_from_reply(df: DataFrame, source: str, reply: str, **options: Any) -> DataFrame:
+    """The dashboard a model's reply asks for; the rule-based one where the reply holds no document."""
+    texts = df.sparkSession.createDataFrame([(reply,)], "reply string")
+    read = read_replies(texts, "reply", F.lit(source)).select(F.to_json("document").alias("document")).first()
+    return dashboard(df, source, json.loads(read["document"]) if read["document"] else None, **options)
+
+
 def chart_document(df: DataFrame, spec: Spec, number: int) -> DataFrame:
     """`chart_no`, `part`, `chart` (VARIANT): the spec's texts with its payload as `data`."""
     chart = plan_chart(df, spec)

@@ -15,9 +15,11 @@ ERROR_TITLE, ERROR_INSIGHTS = "Error", "Error extracting insights"
 
 
 def json_part(text: Column) -> Column:
-    """From the first opening to the last closing brace; null where there is none."""
-    found = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    return F.nullif(found, F.lit(""))
+    """From the first opening to the last closing brace; null where there is none. Two linear searches: a
+    greedy pattern would start over at every opening brace of a text that never closes one."""
+    start = F.instr(text, "{")
+    end = F.length(text) - F.length(F.substring_index(text, "}", -1))
+    return F.when((start > 0) & (end > start), text.substr(start, end - start + 1))
 
 
 def _text(document: Column, path: str, default: Column | str | None = None) -> Column:
@@ -29,7 +31,7 @@ def _text(document: Column, path: str, default: Column | str | None = None) -> C
 
 def read_replies(df: DataFrame, text: str, source: Column | None = None) -> DataFrame:
     """The input columns plus `status` (ok or error), `document` (VARIANT), `dashboard_title`, `summary`,
-    `insights`. `source` names the table for the default title."""
+    `insights`, `metadata` (JSON). `source` names the table for the default title."""
     # The part starts with a brace, so whatever parses is an object.
     rows = df.withColumn("document", F.try_parse_json(json_part(F.col(text))))
     ok = F.col("document").isNotNull()
@@ -41,6 +43,7 @@ def read_replies(df: DataFrame, text: str, source: Column | None = None) -> Data
         F.when(ok, titled).otherwise(ERROR_TITLE).alias("dashboard_title"),
         F.when(ok, _text(F.col("document"), "$.summary", "")).otherwise("").alias("summary"),
         F.when(ok, _text(F.col("document"), "$.insights", "")).otherwise(ERROR_INSIGHTS).alias("insights"),
+        F.coalesce(F.to_json(F.try_variant_get("document", "$.metadata", "variant")), F.lit("{}")).alias("metadata"),
     )
 
 

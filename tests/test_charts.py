@@ -161,6 +161,14 @@ def test_basic_dashboard_when_there_is_no_chart(travel):
     assert [m["value"] for m in row["key_metrics"]] == ["4", "5"]
 
 
+def test_dashboard_from_reply(travel):
+    reply = 'Here: {"dashboard_title": "Trips", "charts": [{"chart_type": "bar", "data_config": {"source_columns": ["Department"]}}, {"chart_type": "pie"}]}!'
+    (row,) = dashboards.dashboard_from_reply(travel, "trips.xlsx", reply, chart_types=["bar"]).collect()
+    assert row["title"] == "Trips" and [c["chart_type"] for c in json.loads(row["charts"])] == ["bar"]
+    (row,) = dashboards.dashboard_from_reply(travel, "trips.xlsx", "sorry, no").collect()
+    assert row["title"] == "Basic Dashboard - trips.xlsx"
+
+
 def test_options_filter_and_cut_specs():
     specs = [{"chart_type": "bar"}, {"chart_type": "pie"}, {"chart_type": "bar", "title": "b"}]
     assert [s.title for s in dashboards.selected(specs, ["bar"], 2)] == [None, "b"]

@@ -57,7 +57,7 @@ def test_reply_status(read):
     assert {i: r["status"] for i, r in rows.items()} == {1: "ok", 2: "ok", 3: "error", 4: "error", 5: "error", 6: "error", 7: "ok"}
     assert rows[1]["dashboard_title"] == "T" and rows[2]["dashboard_title"] == "Dashboard - f.xlsx"
     assert (rows[3]["dashboard_title"], rows[3]["insights"]) == ("Error", "Error extracting insights")
-    assert rows[2]["summary"] == "multi\nline"
+    assert rows[2]["summary"] == "multi\nline" and rows[2]["metadata"] == "{}"
 
 
 def test_reply_specs_and_metrics(read):
