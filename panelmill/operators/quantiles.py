@@ -9,7 +9,8 @@ looks only at rows in the buckets that hold a wanted rank:
 
 where the scale s never decreases as v grows. Only values of one folder are ever put in order one by
 one, in a running count that spills to disk if it must. The cost is three narrow scans and a few small
-shuffles, for any number of rows, groups and probabilities.
+shuffles, for any number of rows, groups and probabilities. With a bounded number of groups the first two
+passes run when the plan is declared, and their few chosen buckets are checkpointed for the third.
 """
 
 from __future__ import annotations
@@ -64,11 +65,13 @@ def quantile_columns(df: DataFrame, keys: list[str], value: str, names: dict[str
     # Later passes need no restriction: they look only into drawers the first one chose.
     first = rows if only is None else rows.join(F.broadcast(only), keys, "left_semi")
     drawers = _counted(first, drawer).withColumns({"_total": total, "_start": F.lit(0).cast("bigint")})
-    in_drawer = _holding(drawers, keys, "_drawer", names).drop("_n", "_until")
+    in_drawer = _settled(_holding(drawers, keys, "_drawer", names), few_groups)
     # Total and start are constant within a bucket; they ride along as grouping columns.
-    folders = _counted(spread_join(rows, in_drawer, drawer, few_groups), [*folder, "_total", "_start"])
-    in_folder = _holding(folders, drawer, "_folder", names).drop("_n", "_until")
-    pages = _counted(spread_join(rows, in_folder, folder, few_groups), [*folder, "_v", "_total", "_start"])
+    near = rows.where(_among(in_drawer, "_drawer")) if few_groups else rows
+    folders = _counted(spread_join(near, in_drawer, drawer, few_groups), [*folder, "_total", "_start"])
+    in_folder = _settled(_holding(folders, drawer, "_folder", names), few_groups)
+    near = rows.where(_among(in_folder, "_drawer") & _among(in_folder, "_folder")) if few_groups else rows
+    pages = _counted(spread_join(near, in_folder, folder, few_groups), [*folder, "_v", "_total", "_start"])
     return _interpolate(_holding(pages, folder, "_v", names), keys, names)
 
 
@@ -97,6 +100,20 @@ def _counted(rows: DataFrame, bucket: list[str]) -> DataFrame:
     return rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n"))
 
 
+def _settled(chosen: DataFrame, few_groups: bool) -> DataFrame:
+    """The chosen buckets; a bounded table of them is computed now, because the next pass uses it twice."""
+    kept = chosen.drop("_n", "_until")
+    if not few_groups:
+        return kept
+    ensure_checkpoint_dir(chosen.sparkSession)
+    return kept.coalesce(1).checkpoint()
+
+
+def _among(chosen: DataFrame, bucket: str) -> Column:
+    """A cheap test on the bucket number alone, before the join on all keys: most rows end here."""
+    return F.array_contains(chosen.agg(F.collect_set(bucket).alias("all")).scalar(), F.col(bucket))
+
+
 def _place(probability: float) -> str:
     """Where a probability falls between the first value (0) and the last (total - 1)."""
     return f"((_total - 1) * {float(probability)!r}D)"
