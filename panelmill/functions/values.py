@@ -7,6 +7,10 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from .families import CATEGORICAL, DATETIME, NUMERIC, family_of, type_of
 
 
+# Documents keep missing values as null.
+JSON_OPTIONS = {"ignoreNullFields": "false"}
+
+
 def quoted(name: str) -> str:
     """A column name safe inside an expression, whatever characters a header holds."""
     return "`" + name.replace("`", "``") + "`"

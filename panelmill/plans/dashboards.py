@@ -10,19 +10,14 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import colors, families as fam
-from ..functions.values import capitalized
 from ..operators import describe
 from ..operators.counts import by_count, value_counts
 from ..operators.ordering import first_rows
+from . import texts
 from .charts import Spec, payload_of, plan_chart
 from .replies import read_replies
 from .spec import BASIC_LIMIT, DEFAULTS, ChartSpec
 
-# Texts of the rule-based dashboard.
-BASIC_INSIGHTS = "Basic dashboard with fundamental data visualizations"
-BASIC_TITLE = "Basic"
-DEFAULT_CHARTS = 3
-
 
 def union_points(df: DataFrame, specs: list[Spec]) -> DataFrame:
     """The points of many charts in one table: `chart_id` counts from 1, values are doubles."""
@@ -52,20 +47,20 @@ def dashboard(df: DataFrame, source: str, document: Mapping[str, Any] | None = N
     if not specs:
         return basic_dashboard(df, source, category, description)
     charts = [chart_document(df, spec, i) for i, spec in enumerate(specs, 1)]
-    metrics = [_metric(F.lit(m.get("metric")), F.lit(None if m.get("value") is None else str(m["value"])), F.lit(m.get("description")))
+    metrics = [texts.metric(F.lit(m.get("metric")), F.lit(m.get("value")), F.lit(m.get("description")))
                for m in document.get("key_metrics") or []]
     return _assemble(
         df, charts,
-        title=F.lit(document.get("dashboard_title", f"Dashboard - {source}")),
+        title=F.lit(document.get("dashboard_title", texts.REQUESTED_TITLE % source)),
         insights=F.lit(document.get("insights", "")), summary=F.lit(document.get("summary", "")),
-        metrics=metrics, category=category, metadata=document.get("metadata") or {},
+        metrics=F.array(*metrics).cast(texts.METRIC_TYPE), category=category, metadata=document.get("metadata") or {},
     )
 
 
 def dashboard_from_reply(df: DataFrame, source: str, reply: str, **options: Any) -> DataFrame:
     """The dashboard a model's reply asks for; the rule-based one where the reply holds no document."""
-    texts = df.sparkSession.createDataFrame([(reply,)], "reply string")
-    read = read_replies(texts, "reply", F.lit(source)).select(F.to_json("document").alias("document")).first()
+    replies = df.sparkSession.createDataFrame([(reply,)], "reply string")
+    read = read_replies(replies, "reply", F.lit(source)).select(F.to_json("document").alias("document")).first()
     return dashboard(df, source, json.loads(read["document"]) if read["document"] else None, **options)
 
 
@@ -92,13 +87,8 @@ def _json_value(value: Mapping[str, Any]) -> Column:
     return F.parse_json(F.lit(json.dumps(dict(value))))
 
 
-def _metric(metric: Column, value: Column, description: Column) -> Column:
-    return F.struct(metric.cast("string").alias("metric"), value.cast("string").alias("value"),
-                    description.cast("string").alias("description"))
-
-
 def _assemble(df: DataFrame, charts: list[DataFrame], title: Column, insights: Column, summary: Column,
-              metrics: list[Column], category: str | None, metadata: Mapping[str, Any]) -> DataFrame:
+              metrics: Column, category: str | None, metadata: Mapping[str, Any]) -> DataFrame:
     """Charts of one dashboard are few and each is cut to its limit, so one row may hold them."""
     none = F.array().cast("array<string>")
     documents = none
@@ -107,34 +97,29 @@ def _assemble(df: DataFrame, charts: list[DataFrame], title: Column, insights: C
         ordered = F.transform(F.array_sort(F.collect_list(F.struct("chart_no", "part", "chart"))), lambda c: c["chart"])
         documents = every.agg(ordered.alias("charts")).scalar()
     joined = F.concat(F.lit("["), F.concat_ws(",", documents), F.lit("]"))
-    kind = "array<struct<metric:string,value:string,description:string>>"
     return df.sparkSession.range(1).select(
         title.alias("title"), joined.alias("charts"), insights.alias("insights"), summary.alias("summary"),
-        F.array(*metrics).cast(kind).alias("key_metrics"), F.lit(category).cast("string").alias("category"),
+        metrics.alias("key_metrics"), F.lit(category).cast("string").alias("category"),
         F.lit(json.dumps(dict(metadata))).alias("metadata"),
     )
 
 
 def basic_points(df: DataFrame) -> DataFrame | None:
     """Top values of the first text column, or None where there is none."""
-    texts = fam.categorical_columns(df)
-    if not texts:
+    columns = fam.categorical_columns(df)
+    if not columns:
         return None
-    kept = first_rows(value_counts(df, texts[0]), by_count(), BASIC_LIMIT)
+    kept = first_rows(value_counts(df, columns[0]), by_count(), BASIC_LIMIT)
     return kept.select("ordinal", F.col("value").alias("label"), F.col("n").alias("value"))
 
 
-def basic_metrics(df: DataFrame) -> DataFrame:
-    """`metric`, `value`, `description`: records and fields of the table."""
-    rows = describe.row_count(df)
-    return rows.select(F.inline(F.array(*_basic_metrics(df, F.col("rows")))))
+def _fields(df: DataFrame) -> Column:
+    return F.lit(len(fam.data_columns(df)))
 
 
-def _basic_metrics(df: DataFrame, rows: Column) -> list[Column]:
-    return [
-        _metric(F.lit("Total Records"), rows, F.lit("Number of data rows")),
-        _metric(F.lit("Data Fields"), F.lit(len(fam.data_columns(df))), F.lit("Number of columns")),
-    ]
+def basic_metrics(df: DataFrame) -> DataFrame:
+    """`metric`, `value`, `description`: records and fields of the table."""
+    return describe.row_count(df).select(F.inline(texts.basic_metrics(F.col("rows"), _fields(df))))
 
 
 def basic_dashboard(df: DataFrame, source: str, category: str | None = None, description: str | None = None) -> DataFrame:
@@ -145,15 +130,15 @@ def basic_dashboard(df: DataFrame, source: str, category: str | None = None, des
     if points is not None:
         name = fam.categorical_columns(df)[0]
         listed = points.agg(F.array_sort(F.collect_list(F.struct("ordinal", "label", "value"))).alias("points"))
-        dataset = F.struct(F.lit("Count").alias("label"), F.col("points.value").alias("data"), F.lit(colors.BASIC_FILL).alias("backgroundColor"))
+        dataset = F.struct(F.lit(texts.CHART_AXIS).alias("label"), F.col("points.value").alias("data"),
+                           F.lit(colors.BASIC_FILL).alias("backgroundColor"))
         body = F.struct(F.col("points.label").alias("labels"), F.array(dataset).alias("datasets"))
         payload = listed.select(F.lit(0).alias("part"), F.to_json(body).alias("payload"))
-        spec = ChartSpec(x_axis=name, y_axis="Count", insights=f"Shows the distribution of {name} values in the dataset")
-        charts.append(_chart_row(payload, 1, spec, f"Distribution of {name}"))
-    kind = capitalized(F.lit(category)) if category else F.lit(BASIC_TITLE)
-    text = F.concat(F.lit(f"Analysis of {source} containing "), rows.cast("string"),
-                    F.lit(f" rows and {len(fam.data_columns(df))} columns" + (f". {description}" if description else "")))
+        spec = ChartSpec(x_axis=name, y_axis=texts.CHART_AXIS, insights=texts.CHART_INSIGHTS % name)
+        charts.append(_chart_row(payload, 1, spec, texts.CHART_TITLE % name))
+    name = F.lit(source)
     return _assemble(
-        df, charts, title=F.concat(kind, F.lit(f" Dashboard - {source}")), insights=F.lit(BASIC_INSIGHTS), summary=text,
-        metrics=_basic_metrics(df, rows), category=category, metadata={},
+        df, charts, title=texts.title(name, category), insights=F.lit(texts.BASIC_INSIGHTS),
+        summary=texts.summary(name, rows, _fields(df), description), metrics=texts.basic_metrics(rows, _fields(df)),
+        category=category, metadata={},
     )

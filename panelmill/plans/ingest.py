@@ -12,9 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import colors
 from ..functions.families import FILE_COLUMN, ROW_COLUMN
-from ..functions.values import capitalized
 from ..sources import catalog, uploads, workbooks
-from .dashboards import BASIC_INSIGHTS, BASIC_TITLE
+from . import texts
 from .spec import BASIC_LIMIT
 
 
@@ -81,33 +80,25 @@ def group_dashboards(shapes: DataFrame, values: DataFrame, group: str, category:
     charted = values.join(shapes.select(group, "column"), [group, "column"], "left_semi")
     points = F.array_sort(F.collect_list(F.struct("ordinal", "text", "n"))).alias("points")
     tops = group_top_values(charted, group).groupBy(group).agg(points)
-    name = F.element_at(F.split(group, "/"), -1)
-    kind = capitalized(F.lit(category)) if category else F.lit(BASIC_TITLE)
-    tail = F.lit(f". {description}" if description else "")
+    name, rows, fields = F.element_at(F.split(group, "/"), -1), F.col("rows"), F.col("fields")
     return shapes.join(tops, group, "left").select(
         group,
-        F.concat(kind, F.lit(" Dashboard - "), name).alias("title"),
+        texts.title(name, category).alias("title"),
         F.when(F.col("points").isNull(), "[]").otherwise(F.to_json(F.array(_chart()))).alias("charts"),
-        F.lit(BASIC_INSIGHTS).alias("insights"),
-        F.concat(F.lit("Analysis of "), name, F.lit(" containing "), F.col("rows").cast("string"), F.lit(" rows and "),
-                 F.col("fields").cast("string"), F.lit(" columns"), tail).alias("summary"),
-        F.to_json(F.array(_metric("Total Records", F.col("rows"), "Number of data rows"),
-                          _metric("Data Fields", F.col("fields"), "Number of columns"))).alias("key_metrics"),
+        F.lit(texts.BASIC_INSIGHTS).alias("insights"),
+        texts.summary(name, rows, fields, description).alias("summary"),
+        F.to_json(texts.basic_metrics(rows, fields)).alias("key_metrics"),
         F.lit(category).cast("string").alias("category"),
         F.lit("{}").alias("metadata"),
     )
 
 
-def _metric(name: str, value: Column, description: str) -> Column:
-    return F.struct(F.lit(name).alias("metric"), value.cast("string").alias("value"), F.lit(description).alias("description"))
-
-
 def _chart() -> Column:
-    dataset = F.struct(F.lit("Count").alias("label"), F.col("points.n").alias("data"), F.lit(colors.BASIC_FILL).alias("backgroundColor"))
+    axis, column = F.lit(texts.CHART_AXIS), F.col("column")
+    dataset = F.struct(axis.alias("label"), F.col("points.n").alias("data"), F.lit(colors.BASIC_FILL).alias("backgroundColor"))
     data = F.struct(F.col("points.text").alias("labels"), F.array(dataset).alias("datasets"))
-    column = F.col("column")
     return F.struct(
-        F.lit("bar").alias("chart_type"), F.concat(F.lit("Distribution of "), column).alias("title"),
-        column.alias("x_axis"), F.lit("Count").alias("y_axis"), data.alias("data"),
-        F.concat(F.lit("Shows the distribution of "), column, F.lit(" values in the dataset")).alias("insights"),
+        F.lit("bar").alias("chart_type"), F.format_string(texts.CHART_TITLE, column).alias("title"),
+        column.alias("x_axis"), axis.alias("y_axis"), data.alias("data"),
+        F.format_string(texts.CHART_INSIGHTS, column).alias("insights"),
     )

@@ -8,10 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..errors import EmptyInputError
 from ..functions import families as fam
-from ..functions.values import iso, json_ready, or_blank, raw
+from ..functions.values import JSON_OPTIONS, iso, json_ready, or_blank, raw
 from ..operators import correlation, counts, describe, samples
 
-JSON_OPTIONS = {"ignoreNullFields": "false"}
 # Names of the statistics in the document.
 NUMERIC_NAMES = {"count": "count", "mean": "mean", "std": "std", "min": "min", "q25": "25%", "q50": "50%", "q75": "75%", "max": "max"}
 TEXT_NAMES = {"count": "count", "unique": "unique", "top": "top", "freq": "freq"}

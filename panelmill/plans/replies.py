@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .spec import DEFAULTS
+from .texts import REQUESTED_TITLE
 
 # The document that stands for an unreadable reply.
 ERROR_TITLE, ERROR_INSIGHTS = "Error", "Error extracting insights"
@@ -36,7 +37,7 @@ def read_replies(df: DataFrame, text: str, source: Column | None = None) -> Data
     rows = df.withColumn("document", F.try_parse_json(json_part(F.col(text))))
     ok = F.col("document").isNotNull()
     source = F.lit("Unknown") if source is None else source
-    titled = _text(F.col("document"), "$.dashboard_title", F.concat(F.lit("Dashboard - "), source))
+    titled = _text(F.col("document"), "$.dashboard_title", F.format_string(REQUESTED_TITLE, source))
     return rows.select(
         "*",
         F.when(ok, "ok").otherwise("error").alias("status"),

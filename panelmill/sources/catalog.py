@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..errors import ConstraintError
-from ..functions.values import iso, raw
+from ..functions.values import JSON_OPTIONS, iso, raw
 from ..operators.ordering import page
 
 SCHEMA = """
@@ -121,7 +121,7 @@ def page_document(listed: DataFrame) -> DataFrame:
     """
     shown = public_documents(listed).withColumn("_at", F.struct("created_at", "dashboard_id"))
     body = F.to_json(F.struct("dashboard_id", "dashboard_config", "status", "created_at", "file_url", "user_id"),
-                     {"ignoreNullFields": "false"})
+                     JSON_OPTIONS)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("_at", body.alias("body")))), lambda d: d["body"])
     total = F.coalesce(listed.agg(F.max("total").alias("total")).scalar(), F.lit(0).cast("bigint"))
     return shown.agg(ordered.alias("d")).select(F.concat(

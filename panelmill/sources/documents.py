@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.values import json_table
-from ..plans.profile import JSON_OPTIONS
+from ..functions.values import JSON_OPTIONS, json_table
 
 
 def json_documents(df: DataFrame) -> DataFrame:
