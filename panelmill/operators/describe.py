@@ -38,35 +38,41 @@ def missing_values(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     return _per_column(df, columns or fam.data_columns(df), {"missing": lambda c: F.count_if(clean(df, c).isNull())})
 
 
-def describe_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """`column`, `count`, `mean`, `std`, `min`, quartiles, `max`; the quartiles are exact."""
-    columns = columns or fam.numeric_columns(df)
-    values = df.select(*[clean(df, c).cast("double").alias(c) for c in columns])
-    return _moments(values, columns).join(_quartiles(values, columns, root_scale), "column", "left")
-
-
-def _moments(values: DataFrame, columns: list[str]) -> DataFrame:
-    return _per_column(values, columns, {
+def measures(df: DataFrame, numbers: list[str], times: list[str]) -> DataFrame:
+    """`column`, `count`, `mean`, `std`, `min`, quartiles, `max` as doubles, the quartiles exact; times are
+    in microseconds since the epoch. All columns share the passes over the table."""
+    values = df.select(*[clean(df, c).cast("double").alias(c) for c in numbers],
+                       *[as_micros(raw(c)).cast("double").alias(c) for c in times])
+    columns = numbers + times
+    moments = _per_column(values, columns, {
         "count": lambda c: F.count(raw(c)),
         "mean": lambda c: F.avg(raw(c)),
         "std": lambda c: F.stddev_samp(raw(c)),
         "min": lambda c: F.min(raw(c)),
         "max": lambda c: F.max(raw(c)),
     })
+    long = values.unpivot([], [raw(c) for c in columns], "column", "value")
 
+    def scale(value: Column) -> Column:
+        return F.when(F.col("column").isin(*times), day_scale(value)).otherwise(root_scale(value))
 
-def _quartiles(values: DataFrame, columns: list[str], scale) -> DataFrame:
-    long = values.unpivot([], [raw(c) for c in columns], "column", "value")
-    return quantile_columns(long, ["column"], "value", QUARTILES, scale, few_groups=True)
+    quartiles = quantile_columns(long, ["column"], "value", QUARTILES, scale, few_groups=True)
+    return moments.join(quartiles, "column", "left").select("column", "count", "mean", "std", "min", *QUARTILES, "max")
+
+
+def describe_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """`column`, `count`, `mean`, `std`, `min`, quartiles, `max`."""
+    return measures(df, columns or fam.numeric_columns(df), [])
+
+
+def as_moment(micros: Column) -> Column:
+    return F.timestamp_micros(F.round(micros).cast("bigint"))
 
 
 def describe_datetime(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """`column`, `count`, `mean`, `min`, quartiles, `max` as timestamps, computed on microseconds."""
-    columns = columns or fam.time_columns(df)
-    micros = df.select(*[as_micros(raw(c)).alias(c) for c in columns])
-    joined = _moments(micros, columns).join(_quartiles(micros, columns, day_scale), "column", "left")
-    back = [F.timestamp_micros(F.round(raw(s)).cast("bigint")).alias(s) for s in ("mean", "min", *QUARTILES, "max")]
-    return joined.select("column", "count", *back)
+    """`column`, `count`, `mean`, `min`, quartiles, `max` as timestamps; a deviation has no such form."""
+    table = measures(df, [], columns or fam.time_columns(df))
+    return table.select("column", "count", *[as_moment(raw(s)).alias(s) for s in ("mean", "min", *QUARTILES, "max")])
 
 
 def describe_categorical(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -17,8 +17,8 @@ from ..errors import SpecError
 from ..functions import colors, families as fam
 from ..functions.aggregates import QUANTILES
 from ..functions.percent import percent_label
-from ..functions.values import clean, json_ready, label_text, raw
-from ..operators.counts import by_count, value_counts, value_percentages
+from ..functions.values import clean, json_ready, label_text
+from ..operators.counts import value_counts, value_percentages
 from ..operators.grouping import first_keys, group_reduce
 from ..operators.ordering import SMALL_LIMIT, first_rows, order_columns
 from ..operators.series import daily_sums, dated_rows, first_values

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..errors import EmptyInputError
 from ..functions import families as fam
@@ -42,21 +42,25 @@ def column_profile(df: DataFrame) -> DataFrame:
 
 
 def _statistics(df: DataFrame) -> DataFrame | None:
+    """Statistics of every column that has some, as text where families differ in form."""
     parts = []
     numbers, times = fam.numeric_columns(df), fam.time_columns(df)
     texts = fam.columns_of(df, fam.CATEGORICAL, fam.BOOLEAN)
-    if numbers:
-        table = describe.describe_numeric(df, numbers)
-        parts.append(table.select("column", "count", *[raw(s).cast("string").alias(s) for s in list(NUMERIC_NAMES)[1:]]))
+    if numbers or times:
+        table, is_time = describe.measures(df, numbers, times), F.col("column").isin(*times)
+        shown = [F.when(is_time, _moment_text(s)).otherwise(raw(s).cast("string")).alias(s) for s in list(NUMERIC_NAMES)[1:]]
+        parts.append(table.select("column", "count", *shown))
     if texts:
         parts.append(describe.describe_categorical(df, texts))
-    if times:
-        table = describe.describe_datetime(df, times)
-        spans = [iso(raw(s), fam.type_of(table, s)).alias(s) for s in list(NUMERIC_NAMES)[1:] if s != "std"]
-        parts.append(table.select("column", "count", *spans))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
 
 
+def _moment_text(statistic: str) -> Column:
+    if statistic == "std":
+        return F.lit(None).cast("string")
+    return iso(describe.as_moment(raw(statistic)), T.TimestampType())
+
+
 def _as_map(table: DataFrame, key: str, value: Column) -> Column:
     """A small table (one row per column of the schema) as a map, as a subquery of the document."""
     entries = F.collect_list(F.struct(raw(key).alias("k"), value.alias("v")))

@@ -15,7 +15,6 @@ from .functions.percent import percent_label
 from .operators import correlation, counts, describe, grouping, ordering, samples
 from .plans import charts, dashboards, ingest, profile, replies
 from .sources import catalog, documents as docs, uploads, workbooks
-from .sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}

@@ -1,7 +1,6 @@
 """The plans are the ones we want: pruned scans, partial aggregates, top-k, no nested loops."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from panelmill import queries
 from panelmill.operators import ordering
