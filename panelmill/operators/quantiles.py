@@ -29,7 +29,7 @@ DRAWERS, FOLDERS = 4096.0, 4096.0
 # The 64th root of 1e77: the few numbers beyond share the outermost drawers.
 REACH = 16.0
 # Rows of a group that `percentile` may hold in one task, and how many larger groups a broadcast may name.
-SMALL_GROUP, MOST_LARGE_GROUPS = 100_000, 100_000
+SMALL_GROUP, MOST_LARGE_GROUPS = 100_000, 20_000
 
 
 def root_scale(value: Column) -> Column:
@@ -67,10 +67,10 @@ def quantile_columns(df: DataFrame, keys: list[str], value: str, names: dict[str
     drawers = _counted(first, drawer).withColumns({"_total": total, "_start": F.lit(0).cast("bigint")})
     in_drawer = _settled(_holding(drawers, keys, "_drawer", names), few_groups)
     # Total and start are constant within a bucket; they ride along as grouping columns.
-    near = rows.where(_among(in_drawer, "_drawer")) if few_groups else rows
+    near = _near(rows, in_drawer, "_drawer") if few_groups else rows
     folders = _counted(spread_join(near, in_drawer, drawer, few_groups), [*folder, "_total", "_start"])
     in_folder = _settled(_holding(folders, drawer, "_folder", names), few_groups)
-    near = rows.where(_among(in_folder, "_drawer") & _among(in_folder, "_folder")) if few_groups else rows
+    near = _near(rows, in_folder, "_drawer * 4096 + _folder") if few_groups else rows
     pages = _counted(spread_join(near, in_folder, folder, few_groups), [*folder, "_v", "_total", "_start"])
     return _interpolate(_holding(pages, folder, "_v", names), keys, names)
 
@@ -109,9 +109,11 @@ def _settled(chosen: DataFrame, few_groups: bool) -> DataFrame:
     return kept.coalesce(1).checkpoint()
 
 
-def _among(chosen: DataFrame, bucket: str) -> Column:
-    """A cheap test on the bucket number alone, before the join on all keys: most rows end here."""
-    return F.array_contains(chosen.agg(F.collect_set(bucket).alias("all")).scalar(), F.col(bucket))
+def _near(rows: DataFrame, chosen: DataFrame, spot: str) -> DataFrame:
+    """Rows whose bucket number alone was chosen by any group: a lookup of one number, after which few rows
+    are left for the join on all keys."""
+    spots = chosen.select(F.expr(spot).alias("_spot")).distinct()
+    return rows.withColumn("_spot", F.expr(spot)).join(F.broadcast(spots), "_spot", "left_semi").drop("_spot")
 
 
 def _place(probability: float) -> str:
