@@ -18,7 +18,7 @@ def local_session(app: str = "panelmill", cores: str | int = "*", shuffle_partit
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
-        # Without call sites for error messages, declaring a plan takes a third of the time.
+        # Without call sites for error messages, declaring a plan takes about half the time.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
