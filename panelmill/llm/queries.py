@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
 from .exact_dedup import exact_duplicates
 from .near_dedup import near_duplicates
+from .packing import pack
 from .quality import judge
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +51,17 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = judge(table(spark, sf_dir, "documents"), facts=base)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return found.select("doc_id", *base, failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"))
+
+
+@query
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    kept = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset"]
+
+    def checked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("ids")
+            sums = [zlib.crc32(row.values.to_numpy().astype("<u4").tobytes()) for row in ids]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(sums, pa.int64())], [*kept, "ids_crc32"])
+
+    return pieces.mapInArrow(checked, ", ".join(f"{c} long" for c in [*kept, "ids_crc32"]))
