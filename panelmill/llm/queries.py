@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table
 from .exact_dedup import exact_duplicates
+from .line_dedup import drop_boilerplate, host_of, html_lines
 from .near_dedup import near_duplicates
 from .packing import pack
 from .quality import judge
+from .secrets import KINDS, find_secrets, number_of, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -65,3 +67,43 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(sums, pa.int64())], [*kept, "ids_crc32"])
 
     return pieces.mapInArrow(checked, ", ".join(f"{c} long" for c in [*kept, "ids_crc32"]))
+
+
+@query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    pages = pages.select("page_id", host_of(F.col("url")).alias("host"), html_lines(F.col("html")).alias("text"))
+    return drop_boilerplate(pages, F.col("host"), dropped="lines_dropped")
+
+
+ORACLE["op9_line_dedup"] = r"""
+WITH plain AS (
+  SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host,
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+      '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', '', 'g'),
+      '(?i)</?(?:p|div|li|ul|ol|h[1-6]|br|tr|table|nav|article|header|footer|title|head|body|html)\b[^>]*>', chr(10), 'g'),
+      '<[^>]*>', '', 'g'), '(?:[ \t\r]*\n)+[ \t\r]*', chr(10), 'g') AS text
+  FROM pages
+), lines AS (
+  SELECT page_id, host, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM plain WHERE text IS NOT NULL
+), keyed AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS k FROM lines),
+totals AS (SELECT host, count(*) AS host_pages FROM plain WHERE host IS NOT NULL GROUP BY host HAVING count(*) >= 5),
+bad AS (
+  SELECT host, k FROM (SELECT host, k, count(DISTINCT page_id) AS pages FROM keyed WHERE k <> '' GROUP BY host, k) JOIN totals USING (host)
+  WHERE pages > 1 AND pages > host_pages * 0.3::DOUBLE
+), kept AS (
+  SELECT page_id, coalesce(string_agg(CASE WHEN bad.k IS NULL THEN line END, chr(10) ORDER BY pos), '') AS text,
+    count(bad.k) AS lines_dropped
+  FROM keyed LEFT JOIN bad ON keyed.host = bad.host AND keyed.k = bad.k GROUP BY page_id
+)
+SELECT plain.page_id, plain.host, kept.text, coalesce(lines_dropped, 0) AS lines_dropped FROM plain LEFT JOIN kept USING (page_id)
+"""
+
+
+@query
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [number_of(kind).alias(f"n_{kind}") for kind in KINDS[:3]]
+    base = F.filter("secrets", lambda s: s["kind"] < 3)
+    return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("secrets")).alias("spans"))
