@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import table
 from .exact_dedup import exact_duplicates
 from .line_dedup import drop_boilerplate, host_of, html_lines
+from .mixing import mix
 from .near_dedup import near_duplicates
 from .packing import pack
 from .quality import judge
@@ -107,3 +108,8 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [number_of(kind).alias(f"n_{kind}") for kind in KINDS[:3]]
     base = F.filter("secrets", lambda s: s["kind"] < 3)
     return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("secrets")).alias("spans"))
+
+
+@query
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
