@@ -11,10 +11,11 @@ copies of any size is one row. Within a table nothing is paired with everything:
 most central member, the one that meets most others over all tables. Verified links make components.
 
 **The rest.** A link may be missed there when neither end is central. Tables that still hold more than one component
-are therefore examined again, exactly: among the sets of such tables, shingles that no second set has are counted; a
-set can only link with a partner if its other shingles, and the partner's, are enough for the threshold. This bound
-leaves few members; their remaining pairs of different components are verified, and components are made again.
-There is no cap on members, candidates or partners.
+are therefore examined again, exactly: the shingles of their sets are counted. Two sets either have a rare shingle in
+common, and meet in its short list, or only their common shingles can match, and must be enough for the threshold by
+themselves. A copy that was edited more than the threshold allows has too many rare shingles for that, so few pairs of
+different components are left; they are verified, and components are made again. There is no cap on members,
+candidates or partners.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from .words import Block, mix
 
 TUPLE = 3
 MISSED = 5e-5
+# Sets that a shingle may have to count as rare in the second look; no cap: shingles of more sets are looked at otherwise.
+RARE = 8
 
 
 def tuples_for(percent: int) -> int:
@@ -106,7 +109,6 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
              .agg(F.min(F.struct("doc_id", "n_shingles", "tuples")).alias("s")))
     reps = settle(first.select("digest", "s.*"), "sets")
     members = settle(_members(reps, m), "members")
-    sizes = reps.select("doc_id", F.col("n_shingles").alias("n"))
     shared = members.select("doc_id").distinct()
     sets = settle(texts.join(shared, "doc_id", "left_semi").mapInArrow(_listed(k), "doc_id long, shingles array<long>"), "shingles")
 
@@ -117,7 +119,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     pairs = members.join(centres, "key").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
     links = settle(_verified(pairs, sets, percent), "star_links")
     found = components(links)
-    more = settle(_verified(_open_pairs(members, sizes, sets, found, percent), sets, percent), "open_links")
+    more = settle(_verified(_open_pairs(members, reps, sets, found, percent, m), sets, percent), "open_links")
     if not more.isEmpty():
         found = components(links.union(more))
 
@@ -158,33 +160,37 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(_enough("size(array_intersect(_a, _b))", "size(_a)", "size(_b)", percent)).select("a", "b").distinct()
 
 
-def _open_pairs(members: DataFrame, sizes: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a table and that the count of unshared shingles does not rule out."""
+def _open_pairs(members: DataFrame, reps: DataFrame, sets: DataFrame, found: DataFrame, percent: int, m: int) -> DataFrame:
+    """Pairs of different components that share a table and that the counts of rare shingles do not rule out."""
     named = found.select(F.col("node").alias("doc_id"), "component")
     placed = (members.select("key", "doc_id").join(named, "doc_id", "left")
               .select("key", "doc_id", F.coalesce("component", "doc_id").alias("component")))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    still = settle(placed.join(mixed, "key"), "open")
-    # Shingles that a second set of the open tables has, per set.
-    own = sets.join(still.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.explode("shingles").alias("s"))
-    counts = own.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("only"))
-    alone = counts.where("n = 1").groupBy(F.col("only").alias("doc_id")).agg(F.sum("n").alias("alone"))
-    # `most` is the largest size of a partner with which the shared shingles could still be enough.
-    bound = (sizes.join(still.select("doc_id").distinct(), "doc_id", "left_semi").join(alone, "doc_id", "left")
-             .selectExpr("doc_id", "n", "n - coalesce(alone, 0) AS c")
-             .selectExpr("doc_id", "n", "c", f"floor(c * {100 + percent} / {percent}) - n AS most"))
-    full = still.join(bound, "doc_id")
-    # Per table and component, then per table: what the best partner outside the own component could be.
-    best = full.groupBy("key", "component").agg(F.min("n").alias("n"), F.max("most").alias("most"))
-    top = best.groupBy("key").agg(
-        F.min(F.struct("n", "component")).alias("small"), F.max(F.struct("most", "component")).alias("wide"))
-    other = best.join(top, "key").groupBy("key").agg(
-        F.first("small").alias("small"), F.first("wide").alias("wide"),
-        F.min(F.when(F.col("component") != F.col("small.component"), F.col("n"))).alias("small2"),
-        F.max(F.when(F.col("component") != F.col("wide.component"), F.col("most"))).alias("wide2"))
-    able = full.join(other, "key").where(
-        "most >= IF(component = small.component, small2, small.n) AND n <= IF(component = wide.component, wide2, wide.most)")
-    able = settle(able.select("key", "doc_id", "component", "n", "c"), "able")
-    a = able.selectExpr("key", "doc_id AS a", "component AS ca", "n AS na", "c AS sa")
-    b = able.selectExpr("key", "doc_id AS b", "component AS cb", "n AS nb", "c AS sb")
-    return a.join(b, "key").where(f"a < b AND ca <> cb AND {_enough('least(sa, sb)', 'na', 'nb', percent)}").select("a", "b").distinct()
+    still = placed.join(mixed, "key").select("doc_id", "component").distinct()
+    # Shingles by how many sets of the open tables have them: one, up to RARE, more.
+    still = settle(still.join(reps.selectExpr("doc_id", "n_shingles AS n", "tuples"), "doc_id"), "open")
+    own = sets.join(still.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.explode("shingles").alias("s"))
+    counts = own.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.min("doc_id").alias("only"))
+    alone = counts.where("df = 1").groupBy(F.col("only").alias("doc_id")).agg(F.sum("df").alias("alone"))
+    rare = settle(own.join(counts.where(f"df BETWEEN 2 AND {RARE}").select("s"), "s"), "rare")
+    several = rare.groupBy("doc_id").agg(F.count(F.lit(1)).alias("several"))
+    bound = settle(still.join(alone, "doc_id", "left").join(several, "doc_id", "left").selectExpr(
+        "doc_id", "component AS c", "n", "n - coalesce(alone, 0) AS shared", "n - coalesce(alone, 0) - coalesce(several, 0) AS common",
+        f"slice(tuples, 1, {m}) AS u", f"slice(tuples, {m + 1}, {m}) AS v"), "bound")
+    a, b = (bound.select([F.col(c).alias(f"{side}_{c}") for c in bound.columns]) for side in "ab")
+    apart = f"a_doc_id < b_doc_id AND a_c <> b_c AND {_enough('least(a_%s, b_%s)', 'a_n', 'b_n', percent)}"
+    chosen = ["a_doc_id AS a", "b_doc_id AS b"]
+
+    # With a rare shingle in common: lists of at most RARE sets. What is not shared at all cannot count.
+    narrow = rare.join(bound.select("doc_id", "c", "n", "shared"), "doc_id")
+    x, y = (narrow.select("s", *[F.col(c).alias(f"{side}_{c}") for c in ("doc_id", "c", "n", "shared")]) for side in "ab")
+    by_rare = x.join(y, "s").where(apart % ("shared", "shared")).selectExpr(*chosen)
+
+    # Without one: only shingles of more than RARE sets can be common. The first tuple a pair shares names it once.
+    able = a.where(_enough("a_common", "a_n", "ceil(a_n * %d / 100)" % percent, percent))
+    others = b.where(_enough("b_common", "b_n", "ceil(b_n * %d / 100)" % percent, percent))
+    x = able.select("*", F.posexplode("a_u").alias("slot", "value"))
+    y = others.select("*", F.posexplode("b_u").alias("slot", "value"))
+    first = "array_position(zip_with(a_u, b_u, (p, q) -> p = q), true) = slot + 1 AND arrays_overlap(a_v, b_v)"
+    by_table = x.join(y, ["slot", "value"]).where(apart % ("common", "common") + " AND " + first).selectExpr(*chosen)
+    return by_rare.union(by_table).distinct()
