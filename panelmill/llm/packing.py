@@ -19,12 +19,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .common import blocks, settle, text_of
-from .tokens import WordTokens
+from .tokens import BLOCK, WordTokens
 
 WINDOW = 4096
 # A window with at most this many free places counts as full.
 SLACK = 16
-PORTION = 4 << 20
+PORTION = 2 << 20
 BRANCHES = 32
 
 
@@ -133,7 +133,7 @@ def _packed(path: str, size: int, end_id: int, slack: int, portion: int):
                     ["part", "window", "offset", "open", "doc_id", "start", "doc_tokens", "ids"])
 
         kind = None
-        for batch in blocks(batches, "_text"):
+        for batch in blocks(batches, "_text", BLOCK):
             kind = batch.column("doc_id").type
             flat, first = encoder.encode(batch.column("_text"))
             for name, lo, hi in zip(batch.column("doc_id").to_pylist(), first[:-1], first[1:]):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -9,15 +10,20 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table
+from ..session import ensure_checkpoint_dir
+from .common import blocks, settle, table, text_of
 from .exact_dedup import exact_duplicates
+from .licenses import oracle, scan_licenses
 from .line_dedup import drop_boilerplate, host_of, html_lines
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .packing import pack
 from .quality import judge
-from .toxicity import fit, score
+from .rollups import TokenRollup
 from .secrets import KINDS, find_secrets, number_of, written
+from .tokens import WordTokens
+from .toxicity import fit, score
+from .words import Block
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -122,3 +128,38 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     model = fit(docs, table(spark, sf_dir, "labels"), usable=~held_out)
     return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), F.size("licenses").cast("long").alias("n_licenses"), "terms")
+
+
+ORACLE["op8_license_scan"] = oracle()
+
+
+@query
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Provisional counts by words, revised to tokens, less the documents labelled as of low quality, each batch once."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", text_of().alias("text"))
+    path = public_tokenizers.path("word_bpe_49k.json")
+
+    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches):
+            text = batch.column("text")
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in ("doc_id", "source", "lang")], pa.array(Block(text).n_words.astype("int64")),
+                 pa.array(WordTokens.of(path).counts(text).astype("int64"))], ["doc_id", "source", "lang", "words", "tokens"])
+
+    counts = settle(docs.mapInArrow(counted, "doc_id long, source string, lang string, words long, tokens long"), "counts")
+    rollup = TokenRollup(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/panelmill-{uuid.uuid4().hex}/rollup")
+    key = ["doc_id", "source", "lang"]
+    first = counts.select(F.lit("insert").alias("op"), *key, F.lit("words").alias("version"), F.col("words").alias("tokens"))
+    exact = counts.select(F.lit("revise").alias("op"), *key, F.lit("word_bpe_49k").alias("version"), "tokens")
+    poor = table(spark, sf_dir, "labels").where("quality = 0").select("doc_id")
+    gone = counts.join(poor, "doc_id", "left_semi").select(
+        F.lit("delete").alias("op"), *key, F.lit("word_bpe_49k").alias("version"), "tokens")
+    for name, changes in (("load", first), ("recount", exact), ("withdraw", gone), ("recount", exact)):
+        rollup.apply(name, changes)
+    return rollup.totals()

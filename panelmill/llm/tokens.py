@@ -11,13 +11,15 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
 
 from .words import Block
 
-KNOWN_WORDS = 600_000
+KNOWN_WORDS, KNOWN_PIECES = 400_000, 150_000
+BLOCK = 1 << 20
 _LETTERS = "a-zß-öø-ÿ"
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 # The pattern of the tokenizer file, for the characters of _PLAIN in lower case.
@@ -55,48 +57,59 @@ class WordTokens:
         self._forget()
 
     def _forget(self) -> None:
-        self._slot: dict[int, int] = {}
-        self._pieces: dict[str, list[int]] = {}
-        self._flat, self._lengths = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64)
-        self._starts = np.zeros(1 << 14, np.int64)
+        self._hashes = np.zeros(0, np.uint64)  # of the known words, in order, and the slot of each
+        self._slot_of = np.zeros(0, np.int64)
+        self._pieces: dict[str, bytes] = {}
+        self._flat, self._lengths, self._starts = np.zeros(1 << 16, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self._used = 0
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> bytes:
         ids = self._pieces.get(piece)
         if ids is None:
-            ids = [t.id for t in self._model.tokenize("".join([self._letters[b] for b in piece.encode()]))]
-            self._pieces[piece] = ids
+            if len(self._pieces) >= KNOWN_PIECES:
+                self._pieces.clear()
+            tokens = self._model.tokenize("".join([self._letters[b] for b in piece.encode()]))
+            ids = self._pieces[piece] = array("i", [t.id for t in tokens]).tobytes()
         return ids
 
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> np.ndarray:
         if "<|" in word or not _PLAIN.fullmatch(word):
-            return self._whole.encode(word, add_special_tokens=False).ids
-        return [i for piece in _PIECES.findall(word.lower()) for i in self._piece(piece)]
-
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
-        for h, word in zip(hashes, words):
-            ids = self.word(word)
-            n = len(self._slot)
-            if n == len(self._starts):
-                self._starts, self._lengths = np.resize(self._starts, 2 * n), np.resize(self._lengths, 2 * n)
-            while self._used + len(ids) > len(self._flat):
-                self._flat = np.resize(self._flat, 2 * len(self._flat))
-            self._starts[n], self._lengths[n] = self._used, len(ids)
-            self._flat[self._used:self._used + len(ids)] = ids
-            self._used += len(ids)
-            self._slot[h] = n
+            return np.array(self._whole.encode(word, add_special_tokens=False).ids, np.int32)
+        return np.frombuffer(b"".join([self._piece(p) for p in _PIECES.findall(word.lower())]), np.int32)
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        first, known = len(self._hashes), [self.word(w) for w in words]
+        lengths = np.fromiter(map(len, known), np.int64, len(known))
+        flat = np.concatenate(known) if known else np.zeros(0, np.int32)
+        starts = self._used + np.cumsum(lengths) - lengths
+        self._starts = np.concatenate([self._starts[:first], starts])
+        self._lengths = np.concatenate([self._lengths[:first], lengths])
+        while self._used + len(flat) > len(self._flat):
+            self._flat = np.concatenate([self._flat, np.zeros_like(self._flat)])
+        self._flat[self._used:self._used + len(flat)] = flat
+        self._used += len(flat)
+        every = np.concatenate([self._hashes, hashes])
+        order = np.argsort(every, kind="stable")
+        self._slot_of = np.concatenate([self._slot_of, first + np.arange(len(hashes))])[order]
+        self._hashes = every[order]
+
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self._hashes, hashes)
+        there = at < len(self._hashes)
+        there[there] = self._hashes[at[there]] == hashes[there]
+        return at, there
 
     def _slots(self, block: Block) -> np.ndarray:
         """The slot of every word of a block."""
-        hashes, at, back = np.unique(block.word_hashes(), return_index=True, return_inverse=True)
-        keys = hashes.tolist()
-        if len(self._slot) > KNOWN_WORDS:
+        hashes, first, back = np.unique(block.word_hashes(), return_index=True, return_inverse=True)
+        if len(self._hashes) > KNOWN_WORDS:
             self._forget()
-        new = [i for i, h in enumerate(keys) if h not in self._slot]
-        raw = block.data.tobytes() if new else b""
-        places = [(int(block.starts[at[i]]), int(block.ends[at[i]])) for i in new]
-        self._learn([keys[i] for i in new], [raw[a:b].decode() for a, b in places])
-        return np.fromiter((self._slot[h] for h in keys), np.int64, len(keys))[back]
+        new = np.flatnonzero(~self._find(hashes)[1])
+        if len(new):
+            raw = block.data.tobytes()
+            places = zip(block.starts[first[new]].tolist(), block.ends[first[new]].tolist())
+            self._learn(hashes[new], [raw[a:b].decode() for a, b in places])
+        return self._slot_of[self._find(hashes)[0]][back]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block, and where those of each text begin (one more at the end)."""
@@ -114,5 +127,6 @@ class WordTokens:
         block = Block(texts)
         if not len(block.starts):
             return np.zeros(block.texts, np.int64)
-        ends = np.concatenate([[0], np.cumsum(self._lengths[self._slots(block)])])
+        slots = self._slots(block)
+        ends = np.concatenate([[0], np.cumsum(self._lengths[slots])])
         return np.diff(ends[block.first])
