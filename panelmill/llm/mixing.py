@@ -151,7 +151,13 @@ def mix(docs: DataFrame, parts: dict | None = None, temperature: float = 0.5, so
     return ranked.mapInArrow(run, schema).toDF(*columns, *names)
 
 
+def slots_of(docs: DataFrame, source_column: str = "source", block_rows: int = BLOCK_ROWS) -> int:
+    """How many slots the mix of `docs` has: the blocks of all sources."""
+    counts = docs.groupBy(F.col(f"`{source_column}`")).count()
+    return counts.agg(F.sum(F.ceil(F.col("count") / block_rows))).first()[0] or 0
+
+
 def in_order(mixed: DataFrame, slots: int, partitions: int, slot: str = "slot", place: str = "place") -> DataFrame:
-    """Rows in the order of the mix: each partition holds a range of slots, in order. `slots` bounds the slot numbers."""
+    """Rows in the order of the mix: each partition holds a range of slots, in order, out of `slots` in all."""
     part = F.least(F.floor(F.col(slot) * partitions / max(slots, 1)), F.lit(partitions - 1)).cast("int")
     return mixed.repartitionById(partitions, part).sortWithinPartitions(slot, place)
