@@ -13,6 +13,7 @@ and gets what the curve gives for none.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -183,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col
         own = marked.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = own if chosen is None else chosen.union(own)
     rows = texts.join(F.broadcast(chosen), "doc_id").where(F.length("text") <= SAMPLE_CHARS).select("label", "text", "doc_id").collect()
-    rows.sort(key=lambda r: (r["doc_id"] * 2654435761 % (1 << 32), r["doc_id"], r["text"]))
+    rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["text"]))
     return fit_texts([r["text"] for r in rows if r["label"]], [r["text"] for r in rows if not r["label"]])
 
 
