@@ -27,7 +27,7 @@ def host_of(url: Column) -> Column:
 
 def _line(line: Column) -> Column:
     """What makes two lines the same: the line without the spaces, tabs and returns around it."""
-    return F.regexp_replace(line, r"^[ \t\r]+|[ \t\r]+$", "")
+    return F.btrim(line, F.lit(" \t\r"))
 
 
 def _known(line: Column) -> Column:
