@@ -56,7 +56,7 @@ def measures(df: DataFrame, numbers: list[str], times: list[str]) -> DataFrame:
     def scale(value: Column) -> Column:
         return F.when(F.col("column").isin(*times), day_scale(value)).otherwise(root_scale(value))
 
-    quartiles = quantile_columns(long, ["column"], "value", QUARTILES, scale, few_groups=True)
+    quartiles = quantile_columns(long, ["column"], "value", QUARTILES, scale)
     return moments.join(quartiles, "column", "left").select("column", "count", "mean", "std", "min", *QUARTILES, "max")
 
 

@@ -8,7 +8,7 @@ from ..errors import SpecError
 from ..functions import families as fam
 from ..functions.aggregates import NAMES, NUMERIC_ONLY, QUANTILES, aggregate
 from ..functions.values import clean, raw
-from .quantiles import group_quantiles, quantile_columns
+from .quantiles import quantile_columns
 
 
 def measure_input(df: DataFrame, column: str, name: str) -> Column:
@@ -37,7 +37,7 @@ def group_reduce(df: DataFrame, key: str, measures: dict[str, tuple[str, str]],
         raise SpecError(f"unknown aggregation {unknown[0]!r}; known names: {', '.join(NAMES)}")
     group = clean(df, key)
     every = df.where(group.isNotNull()).withColumn("key", group)
-    rows = every if keys is None else every.join(F.broadcast(keys), "key", "left_semi")
+    rows = every if keys is None else every.join(keys, "key", "left_semi")
     order = raw(order_by) if order_by else None
     plain = {a: (c, n) for a, (c, n) in measures.items() if n not in QUANTILES}
     columns = [aggregate(n, measure_input(df, c, n), order).alias(a) for a, (c, n) in plain.items()]
@@ -46,10 +46,7 @@ def group_reduce(df: DataFrame, key: str, measures: dict[str, tuple[str, str]],
         if name in QUANTILES:
             values = every.select("key", measure_input(df, column, name).alias("_x"))
             wanted = {alias: QUANTILES[name]}
-            if keys is None:
-                found = group_quantiles(values, ["key"], "_x", wanted)
-            else:
-                found = quantile_columns(values, ["key"], "_x", wanted, few_groups=True, only=keys)
+            found = quantile_columns(values, ["key"], "_x", wanted, only=keys)
             result = (rows.select("key").distinct() if result is None else result).join(found, "key", "left")
     return result.select("key", *[raw(a) for a in measures])
 

@@ -1,16 +1,20 @@
-"""Exact interpolated quantiles of groups of any size.
+"""Exact interpolated quantiles of groups of any size, by one path for every size.
 
 `percentile` keeps every distinct value of a group in the memory of one task. Here a rank is found the
 way one looks up a word: first the drawer, then the folder, then the page. Each level is an ordinary
 grouped count with map-side combine, so a task sends at most one row per bucket, and the next level
 looks only at rows in the buckets that hold a wanted rank:
 
-    drawer = floor(s(v)), folder = the next 12 binary digits of s(v), page = v itself
+    drawer = floor(s(v)), folder = one of 4096 equal parts of the drawer's own range of values, page = v itself
 
-where the scale s never decreases as v grows. Only values of one folder are ever put in order one by
-one, in a running count that spills to disk if it must. The cost is three narrow scans and a few small
-shuffles, for any number of rows, groups and probabilities. With a bounded number of groups the first two
-passes run when the plan is declared, and their few chosen buckets are checkpointed for the third.
+where the scale s never decreases as v grows. A drawer brings along its least and greatest value, so
+values that lie close together around any offset are spread over all its folders. Only values of one
+folder are ever put in order one by one, in a running count that spills to disk if it must.
+
+The whole is one lazy plan of three narrow scans. The chosen buckets are at most two per group and
+probability; whether they are broadcast is left to the size that adaptive execution measures, and a
+bucket that holds most rows of a join is split there too, so adaptive execution must be on. A group's
+result depends on its own values alone: the two neighbouring values and one expression between them.
 """
 
 from __future__ import annotations
@@ -22,14 +26,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..errors import SpecError
 from ..functions.values import quoted
-from ..session import ensure_checkpoint_dir
-from .joins import spread_join
 
-DRAWERS, FOLDERS = 4096.0, 4096.0
+DRAWERS, FOLDERS = 4096.0, 4096
 # The 64th root of 1e77: the few numbers beyond share the outermost drawers.
 REACH = 16.0
-# Rows of a group that `percentile` may hold in one task, and how many larger groups a broadcast may name.
-SMALL_GROUP, MOST_LARGE_GROUPS = 100_000, 20_000
 
 
 def root_scale(value: Column) -> Column:
@@ -46,74 +46,40 @@ def day_scale(micros: Column) -> Column:
 
 
 def quantile_columns(df: DataFrame, keys: list[str], value: str, names: dict[str, float],
-                     scale: Callable[[Column], Column] = root_scale, few_groups: bool = False,
-                     only: DataFrame | None = None) -> DataFrame:
+                     scale: Callable[[Column], Column] = root_scale, only: DataFrame | None = None) -> DataFrame:
     """`keys` and one double per name and probability: linear interpolation between the two nearest ranks.
 
     `df` holds `keys` and a numeric `value` without NaN; null values are skipped, and groups without any
-    value are absent. `few_groups` states that the number of groups is bounded (column names, or keys cut
-    by a limit), so the chosen buckets, at most two per probability and group, may be broadcast. `only`
-    restricts the groups to a bounded table of keys.
+    value are absent. `only` restricts the groups to a table of keys.
     """
     if not keys:
         raise SpecError("quantiles need at least one key column")
-    scaled = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), scale(F.col(value)).alias("_s"))
-    rows = scaled.selectExpr(
-        *[quoted(k) for k in keys], "_v", "floor(_s) AS _drawer", f"int(floor((_s - floor(_s)) * {FOLDERS}D)) AS _folder")
+    rows = df.where(F.col(value).isNotNull()).select(
+        *keys, F.col(value).alias("_v"), F.floor(scale(F.col(value))).cast("bigint").alias("_drawer"))
     drawer, folder = [*keys, "_drawer"], [*keys, "_drawer", "_folder"]
     total = F.sum("_n").over(Window.partitionBy(*keys))
     # Later passes need no restriction: they look only into drawers the first one chose.
-    first = rows if only is None else rows.join(F.broadcast(only), keys, "left_semi")
-    drawers = _counted(first, drawer).withColumns({"_total": total, "_start": F.lit(0).cast("bigint")})
-    in_drawer = _settled(_holding(drawers, keys, "_drawer", names), few_groups)
-    # Total and start are constant within a bucket; they ride along as grouping columns.
-    near = _near(rows, in_drawer, "_drawer") if few_groups else rows
-    folders = _counted(spread_join(near, in_drawer, drawer, few_groups), [*folder, "_total", "_start"])
-    in_folder = _settled(_holding(folders, drawer, "_folder", names), few_groups)
-    near = _near(rows, in_folder, "_drawer * 4096 + _folder") if few_groups else rows
-    pages = _counted(spread_join(near, in_folder, folder, few_groups), [*folder, "_v", "_total", "_start"])
+    first = rows if only is None else rows.join(only, keys, "left_semi")
+    ends = [F.min("_v").cast("double").alias("_least"), F.max("_v").cast("double").alias("_most")]
+    drawers = _counted(first, drawer, *ends).withColumns({"_total": total, "_start": F.lit(0).cast("bigint")})
+    in_drawer = _holding(drawers, keys, "_drawer", names).drop("_n", "_until")
+    # Total, start and ends are constant within a bucket; they ride along as grouping columns. The quotient of
+    # halves stays finite where the difference of the ends would not.
+    finite = "_most > _least AND _most < double('Infinity') AND _least > double('-Infinity')"
+    part = f"least((double(_v) / 2 - _least / 2) / (_most / 2 - _least / 2) * {FOLDERS}, {FOLDERS - 1})"
+    in_part = F.expr(f"IF({finite}, int({part}), 0)")
+    placed = rows.join(in_drawer, drawer).withColumn("_folder", in_part)
+    folders = _counted(placed, [*folder, "_total", "_start", "_least", "_most"])
+    in_folder = _holding(folders, drawer, "_folder", names).select(
+        *drawer, F.col("_folder").alias("_wanted"), "_total", "_start", "_least", "_most")
+    # At most two folders per drawer and probability are wanted.
+    near = rows.join(in_folder, drawer).where(in_part == F.col("_wanted"))
+    pages = _counted(near.withColumnRenamed("_wanted", "_folder"), [*folder, "_v", "_total", "_start"])
     return _interpolate(_holding(pages, folder, "_v", names), keys, names)
 
 
-def group_quantiles(df: DataFrame, keys: list[str], value: str, names: dict[str, float]) -> DataFrame:
-    """The same for any number of groups of any size.
-
-    Groups that fit one task with ease use `percentile`, in one shuffle by key. The large ones, found by a
-    count per key, go through the passes above. Finding them runs a job now; their list is checkpointed,
-    and if it is too long to broadcast, every group takes the passes.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    rows = df.where(F.col(value).isNotNull())
-    large = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > SMALL_GROUP).select(*keys)
-    large = large.limit(MOST_LARGE_GROUPS + 1).checkpoint()
-    found = large.count()
-    if found > MOST_LARGE_GROUPS:
-        return quantile_columns(rows, keys, value, names)
-    percentiles = [F.percentile(F.col(value).cast("double"), F.lit(float(p))).alias(n) for n, p in names.items()]
-    if not found:
-        return rows.groupBy(*keys).agg(*percentiles)
-    small = rows.join(F.broadcast(large), keys, "left_anti").groupBy(*keys).agg(*percentiles)
-    return small.unionByName(quantile_columns(rows, keys, value, names, few_groups=True, only=large))
-
-
-def _counted(rows: DataFrame, bucket: list[str]) -> DataFrame:
-    return rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n"))
-
-
-def _settled(chosen: DataFrame, few_groups: bool) -> DataFrame:
-    """The chosen buckets; a bounded table of them is computed now, because the next pass uses it twice."""
-    kept = chosen.drop("_n", "_until")
-    if not few_groups:
-        return kept
-    ensure_checkpoint_dir(chosen.sparkSession)
-    return kept.coalesce(1).checkpoint()
-
-
-def _near(rows: DataFrame, chosen: DataFrame, spot: str) -> DataFrame:
-    """Rows whose bucket number alone was chosen by any group: a lookup of one number, after which few rows
-    are left for the join on all keys."""
-    spots = chosen.select(F.expr(spot).alias("_spot")).distinct()
-    return rows.withColumn("_spot", F.expr(spot)).join(F.broadcast(spots), "_spot", "left_semi").drop("_spot")
+def _counted(rows: DataFrame, bucket: list[str], *more: Column) -> DataFrame:
+    return rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n"), *more)
 
 
 def _place(probability: float) -> str:

@@ -25,8 +25,6 @@ from ..operators.series import daily_sums, dated_rows, first_values
 from .spec import CATEGORY_TYPES, LINE_TYPE, PIE_TYPES, UNTITLED_SERIES, ChartSpec, resolve
 
 POINTS_PER_PART = 10_000
-# Up to this many keys may be broadcast to restrict a median to the keys that are shown.
-FEW_KEYS = 10_000
 Spec = ChartSpec | Mapping[str, Any]
 
 
@@ -109,7 +107,7 @@ def _grouped(df: DataFrame, spec: ChartSpec, aggregation: str, ascending: list[C
     by_key = [F.col("key").asc()]
     by_value = [F.col("value").desc_nulls_last(), F.col("key").asc()]
     keys = None
-    if aggregation in QUANTILES and spec.rank_by == "key" and spec.limit is not None and spec.limit <= FEW_KEYS:
+    if aggregation in QUANTILES and spec.rank_by == "key" and spec.limit is not None:
         keys = first_keys(df, column, spec.limit)
     groups = group_reduce(df, column, measure, spec.order_by, keys)
     return first_rows(groups, by_value if spec.rank_by == "value" else by_key, spec.limit, ascending)

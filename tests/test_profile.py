@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelmill.errors import EmptyInputError, OrderRequiredError
 from panelmill.functions import families as fam
-from panelmill.operators import correlation, counts, describe, ordering, quantiles, samples
+from panelmill.operators import correlation, counts, describe, ordering, samples
 from panelmill.operators.quantiles import day_scale, quantile_columns
 from panelmill.plans import profile
 
@@ -21,14 +21,13 @@ def by_pandas(pairs):
     return {k: [g["v"].quantile(p) for p in NAMES.values()] for k, g in frame.groupby("k")}
 
 
-@pytest.mark.parametrize("few", [True, False])
-def test_quantiles_of_hard_values(spark, few):
+def test_quantiles_of_hard_values(spark):
     rng = random.Random(5)
     pairs = [("tails", rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300)) for _ in range(2000)]
     pairs += [("same", 3.5)] * 3000 + [("one", -7.0)] + [("close", 1 + i * 1e-12) for i in range(999)]
     pairs += [("whole", float(rng.randrange(-5, 6))) for _ in range(1000)] + [("zero", 0.0), ("zero", -0.0)]
     df = spark.createDataFrame(pairs, "k string, v double").repartition(8)
-    found = {r["k"]: [r[n] for n in NAMES] for r in quantile_columns(df, ["k"], "v", NAMES, few_groups=few).collect()}
+    found = {r["k"]: [r[n] for n in NAMES] for r in quantile_columns(df, ["k"], "v", NAMES).collect()}
     expected = by_pandas(pairs)
     assert found.keys() == expected.keys()
     for key in expected:
@@ -39,22 +38,33 @@ def test_quantiles_of_hard_values(spark, few):
 @given(st.lists(st.floats(allow_nan=False, allow_infinity=False, width=32), min_size=1, max_size=50))
 def test_quantiles_of_any_values(spark, values):
     df = spark.createDataFrame([("k", v) for v in values], "k string, v double")
-    (row,) = quantile_columns(df, ["k"], "v", NAMES, few_groups=True).collect()
+    (row,) = quantile_columns(df, ["k"], "v", NAMES).collect()
     assert [row[n] for n in NAMES] == pytest.approx([float(pd.Series(values).quantile(p)) for p in NAMES.values()], rel=1e-9, abs=1e-30)
 
 
-@pytest.mark.parametrize("small, most", [(10**9, 10), (100, 10), (100, 1), (0, 10)])
-def test_quantiles_of_small_and_large_groups(spark, monkeypatch, small, most):
-    monkeypatch.setattr(quantiles, "SMALL_GROUP", small)
-    monkeypatch.setattr(quantiles, "MOST_LARGE_GROUPS", most)
+def test_quantiles_of_a_group_do_not_depend_on_others(spark):
     rng = random.Random(9)
-    pairs = [(k, rng.gauss(0, 1)) for k, n in (("a", 1000), ("b", 50), ("c", 101), ("d", 1)) for _ in range(n)]
-    df = spark.createDataFrame(pairs + [("e", None)], "k string, v double")
-    found = {r["k"]: [r[n] for n in NAMES] for r in quantiles.group_quantiles(df, ["k"], "v", NAMES).collect()}
-    expected = by_pandas(pairs)
-    assert found.keys() == expected.keys()
-    for key in expected:
-        assert found[key] == pytest.approx(expected[key], rel=1e-12)
+    pairs = {k: [(k, rng.gauss(0, 1) * 10 ** rng.randrange(4)) for _ in range(n)] for k, n in (("a", 30_000), ("b", 50), ("c", 101), ("d", 1))}
+    every = [p for own in pairs.values() for p in own]
+    alone = {}
+    for own in pairs.values():
+        for r in quantile_columns(spark.createDataFrame(own, "k string, v double"), ["k"], "v", NAMES).collect():
+            alone[r["k"]] = r
+    frame = spark.createDataFrame([*every, ("e", None)], "k string, v double")
+    together = {r["k"]: r for r in quantile_columns(frame, ["k"], "v", NAMES).collect()}
+    assert together == alone  # to the last bit
+    some = quantile_columns(frame, ["k"], "v", NAMES, only=spark.createDataFrame([("b",), ("z",)], "k string"))
+    assert {r["k"]: r for r in some.collect()} == {"b": alone["b"]}
+    for key, wanted in by_pandas(every).items():
+        assert [together[key][n] for n in NAMES] == pytest.approx(wanted, rel=1e-12)
+
+
+def test_quantiles_of_close_values_around_an_offset_use_many_folders(spark):
+    frame = spark.range(20_000).selectExpr("string(id % 1) AS k", "1e9 + id * 0.001 AS v")
+    (row,) = quantile_columns(frame, ["k"], "v", {"m": 0.5}).collect()
+    assert row["m"] == pytest.approx(1e9 + 9.9995, abs=1e-6)
+    text = quantile_columns(frame, ["k"], "v", {"m": 0.5})._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce" not in text and "SinglePartition" not in text
 
 
 def test_quantiles_reach_infinity_and_large_whole_numbers(spark):
