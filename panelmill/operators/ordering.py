@@ -31,9 +31,11 @@ def first_rows(df: DataFrame, order: list[Column], limit: int | None, shown: lis
     """The first rows in an order, numbered from 1; `shown` is another order for what is kept.
 
     A small limit is a per-task top-k merged once, so the number comes from a window over at most
-    `limit` rows. Without such a bound the rows stay distributed, see `number_rows`.
+    `limit` rows. Without such a bound the rows stay distributed, see `number_rows`, which needs a
+    checkpoint folder. The folder is asked for in either case, so a request does not start to fail as it grows.
     """
     check_limit(limit)
+    ensure_checkpoint_dir(df.sparkSession)
     if limit is None or limit > SMALL_LIMIT:
         kept = df if limit is None else number_rows(df, order, "_kept").where(F.col("_kept") <= limit).drop("_kept")
         return number_rows(kept, shown or order, ordinal)
@@ -85,9 +87,15 @@ def page(df: DataFrame, order_by: list[str], limit: int | None = 100, offset: in
 
 
 def _beyond(order_by: list[str], after: dict) -> Column:
-    """Rows after a position in the lexicographic order of the columns (first column first)."""
+    """Rows after a position in the lexicographic order of the columns (first column first), nulls first as in the sort."""
     first, *rest = order_by
-    later = raw(first) > F.lit(after[first])
+    value, column = after[first], raw(first)
+    if value is None:
+        later, same = column.isNotNull(), column.isNull()
+    else:
+        later, same = column > F.lit(value), column == F.lit(value)
     if not rest:
         return later
-    return (raw(first) >= F.lit(after[first])) & (later | _beyond(rest, after))
+    below = _beyond(rest, after)
+    # The first form gives the scan a plain lower bound.
+    return later | (same & below) if value is None else (column >= F.lit(value)) & (later | below)

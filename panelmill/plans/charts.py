@@ -157,23 +157,27 @@ def _time_series(df: DataFrame, spec: ChartSpec) -> DataFrame | None:
     return daily_sums(rows, spec.limit).select("ordinal", F.col("day").cast("string").alias("label"), "value")
 
 
+def part_count(chart: Chart) -> Column:
+    """How many parts the payload of a chart has, as a scalar subquery."""
+    return F.coalesce(chart.points.agg(F.ceil(F.max("ordinal") / POINTS_PER_PART).alias("n")).scalar(), F.lit(1))
+
+
 def chart_payload(df: DataFrame, spec: Spec) -> DataFrame:
     """`part`, `payload`: the chart as the JSON document a chart widget takes."""
     return payload_of(plan_chart(df, spec))
 
 
 def payload_of(chart: Chart) -> DataFrame:
-    """One row for any limited chart. An unlimited one is cut into parts of 10,000 points in order, so
-    that no task ever holds a whole unbounded chart and no point is lost."""
-    points, limit = chart.points, chart.spec.limit
+    """`part`, `payload`: points 1 to POINTS_PER_PART are part 0, and so on, for every chart and limit, so
+    no task ever holds a whole unbounded chart and no point is lost. A chart without points has an empty part 0.
+    """
+    points = chart.points
     value = json_ready(F.col("value"), fam.type_of(points, "value"))
-    point = F.struct("ordinal", "caption", value.alias("value"), "percentage", "color")
-    gathered = F.array_sort(F.collect_list(point)).alias("points")
-    if chart.kind == "empty" or (limit is not None and limit <= POINTS_PER_PART):
-        parts = points.agg(gathered).withColumn("part", F.lit(0).cast("bigint"))
-    else:
-        number = F.floor((F.col("ordinal") - 1) / POINTS_PER_PART)
-        parts = points.groupBy(number.alias("part")).agg(gathered)
+    point = F.struct("ordinal", "caption", value.alias("value"), "percentage", "color").alias("point")
+    dealt = points.select(F.floor((F.col("ordinal") - 1) / POINTS_PER_PART).alias("part"), point)
+    # A part 0 without a point, which the list below leaves out.
+    first = points.sparkSession.range(1).select(F.col("id").alias("part"), F.lit(None).cast(dealt.schema["point"].dataType).alias("point"))
+    parts = dealt.unionByName(first).groupBy("part").agg(F.array_sort(F.collect_list("point")).alias("points"))
     dataset = F.struct(F.lit(chart.series).alias("label"), F.col("points.value").alias("data"), *_style(chart))
     body = F.struct(F.col("points.caption").alias("labels"), F.array(dataset).alias("datasets"))
     return parts.select("part", F.to_json(body).alias("payload"))
@@ -191,4 +195,5 @@ def _style(chart: Chart) -> list[Column]:
         F.transform("points.color", colors.border_of).alias("borderColor"),
         F.lit(2 if on_pie else 1).alias("borderWidth"),
     ]
-    return style + ([F.col("points.percentage").alias("percentages")] if on_pie else [])
+    shares = on_pie or (chart.kind == "bars" and chart.spec.show_percentages)
+    return style + ([F.col("points.percentage").alias("percentages")] if shares else [])

@@ -6,6 +6,7 @@ files and ten million files run the same few jobs.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -14,40 +15,65 @@ from ..functions import colors
 from ..functions.families import FILE_COLUMN, ROW_COLUMN
 from ..sources import catalog, uploads, workbooks
 from . import texts
-from .spec import BASIC_LIMIT
+from .spec import BASIC_LIMIT, DEFAULTS
 
 
 @dataclass(frozen=True)
 class Ingested:
-    """Where the results of a run are."""
+    """Where the results of a run are: its files, rows and outcomes, and the catalog of all runs."""
 
+    run_id: str
     files: str
     rows: str
+    outcomes: str
     catalog: str
 
 
 def ingest_folder(spark: SparkSession, folder: str, target: str, user_id: int, category: str | None = None,
                   description: str | None = None, max_size: int = uploads.MAX_FILE_SIZE) -> Ingested:
-    """Run the whole path for a folder and append one dashboard per readable workbook.
+    """Run the whole path for a folder and append one dashboard per readable workbook that has none yet.
 
-    `target` is a shared folder. Each stage is written once and read back, which fixes the random ids and
-    lets a later stage restart from files. `files` keeps every file with its id and, if refused, the reason.
+    `target` is a shared folder. Every run writes its files and rows to folders of its own and reads only
+    these, so its cost follows what is new. A file is known by path, size and time of change: run again over
+    the same folder and nothing is appended twice. `outcomes` has a row per file: `outcome` is refused (with
+    `reason`), unreadable, empty, known or new, the last two with the `dashboard_id`.
     """
-    places = Ingested(f"{target}/files", f"{target}/rows", f"{target}/catalog")
+    run = uuid.uuid4().hex
+    places = Ingested(run, *[f"{target}/{kind}/run_id={run}" for kind in ("files", "rows", "outcomes")], f"{target}/catalog")
     uploads.write_landing(uploads.check_folder(spark, folder, max_size), places.files)
-    known = spark.read.parquet(places.files)
+    files = spark.read.parquet(places.files)
     opened = workbooks.folder_files(spark, folder, max_size)
-    workbooks.workbook_rows(opened).write.mode("append").parquet(places.rows)
+    workbooks.workbook_rows(opened).write.parquet(places.rows)
     rows = spark.read.schema(workbooks.ROWS).parquet(places.rows)
+    stored = catalog.read(spark, places.catalog) if catalog.exists(spark, places.catalog) else None
+    found = file_outcomes(files, rows, stored)
+    found.write.parquet(places.outcomes)
+    fresh = spark.read.parquet(places.outcomes).where("outcome = 'new'").select(
+        F.col("path").alias(FILE_COLUMN), "dashboard_id", F.concat(F.lit("/uploads/"), F.col("stored_name")).alias("file_url"))
     boards = file_dashboards(rows, category, description)
-    accepted = known.where("accepted").select(
-        F.col("path").alias(FILE_COLUMN), F.col("file_id").alias("dashboard_id"),
-        F.concat(F.lit("/uploads/"), F.col("stored_name")).alias("file_url"))
-    ready = boards.join(accepted, FILE_COLUMN).withColumn("user_id", F.lit(user_id))
+    ready = boards.join(fresh, FILE_COLUMN).withColumn("user_id", F.lit(user_id))
     catalog.append(catalog.new_versions(ready), places.catalog)
     return places
 
 
+def file_outcomes(files: DataFrame, rows: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """`path, length, reason, outcome, dashboard_id, stored_name`: what becomes of every file of a run.
+
+    `rows` are those of `workbook_rows`: row -1 stands for a file that cannot be read, rows from 1 are data.
+    """
+    read = rows.groupBy(F.col(FILE_COLUMN).alias("path")).agg(
+        F.max(F.when(F.col(ROW_COLUMN) > 0, 1).otherwise(0)).alias("_data"), F.min(ROW_COLUMN).alias("_least"))
+    seen = files.join(read, "path", "left").withColumn("_known", F.lit(False))
+    if stored is not None:
+        ids = stored.select(F.col("dashboard_id").alias("file_id")).distinct().withColumn("_there", F.lit(True))
+        seen = seen.join(ids, "file_id", "left").withColumn("_known", F.coalesce("_there", F.lit(False)))
+    outcome = (F.when(~F.col("accepted"), "refused").when(F.col("_least") < 0, "unreadable")
+               .when(F.coalesce("_data", F.lit(0)) == 0, "empty").when(F.col("_known"), "known").otherwise("new"))
+    named = seen.withColumn("outcome", outcome)
+    board = F.when(F.col("outcome").isin("known", "new"), F.col("file_id"))
+    return named.select("path", "length", "reason", "outcome", board.alias("dashboard_id"), "stored_name")
+
+
 def file_dashboards(rows: DataFrame, category: str | None = None, description: str | None = None) -> DataFrame:
     """One rule-based dashboard per file from `workbook_rows`; empty and unreadable files give none."""
     cells = workbooks.workbook_cells(rows)
@@ -101,4 +127,7 @@ def _chart() -> Column:
         F.lit("bar").alias("chart_type"), F.format_string(texts.CHART_TITLE, column).alias("title"),
         column.alias("x_axis"), axis.alias("y_axis"), data.alias("data"),
         F.format_string(texts.CHART_INSIGHTS, column).alias("insights"),
+        F.lit(DEFAULTS["color_scheme"]).alias("color_scheme"), F.create_map().cast("map<string,string>").alias("metadata"),
+        F.array().cast("array<string>").alias("interactive_features"),
+        F.lit("ok").alias("status"), F.lit(1).cast("bigint").alias("parts"),
     )

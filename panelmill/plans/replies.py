@@ -49,13 +49,19 @@ def read_replies(df: DataFrame, text: str, source: Column | None = None) -> Data
 
 
 def chart_specs(replies: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per chart spec of each readable reply, absent keys filled with their defaults."""
+    """One row per chart spec of each readable reply, absent keys filled with their defaults.
+
+    A limit that is no whole number from 0 becomes the default too, and `limit_reason` says so.
+    """
     charts = F.try_variant_get(F.col("document"), "$.charts", "array<variant>")
     specs = replies.select(*keys, F.posexplode(charts).alias("at", "spec"))
     spec = F.col("spec")
     config = "$.data_config."
     limit = F.try_variant_get(spec, config + "limit", "variant")
     empty = F.array().cast("array<string>")
+    number = F.try_variant_get(limit, "$", "bigint")
+    whole = F.coalesce(number.between(0, (1 << 31) - 1) & (F.try_variant_get(limit, "$", "double") == number), F.lit(False))
+    open_ended = F.coalesce(F.is_variant_null(limit), F.lit(False))  # only an explicit null means no limit
     return specs.select(
         *keys,
         (F.col("at") + 1).cast("bigint").alias("chart_no"),
@@ -67,11 +73,12 @@ def chart_specs(replies: DataFrame, keys: list[str]) -> DataFrame:
         _text(spec, "$.color_scheme", DEFAULTS["color_scheme"]).alias("color_scheme"),
         F.coalesce(F.try_variant_get(spec, config + "source_columns", "array<string>"), empty).alias("source_columns"),
         _text(spec, config + "aggregation", DEFAULTS["aggregation"]).alias("aggregation"),
-        F.when(limit.isNull(), F.lit(DEFAULTS["limit"])).otherwise(F.try_variant_get(limit, "$", "int")).alias("limit"),
+        F.when(open_ended, F.lit(None).cast("int")).when(whole, number.cast("int")).otherwise(F.lit(DEFAULTS["limit"])).alias("limit"),
         _text(spec, config + "sort", DEFAULTS["sort"]).alias("sort"),
         F.coalesce(F.try_variant_get(spec, config + "show_percentages", "boolean"), F.lit(False)).alias("show_percentages"),
         F.coalesce(F.to_json(F.try_variant_get(spec, "$.metadata", "variant")), F.lit("{}")).alias("metadata"),
         F.coalesce(F.try_variant_get(spec, "$.interactive_features", "array<string>"), empty).alias("interactive_features"),
+        F.when(limit.isNotNull() & ~open_ended & ~whole, "limit is not a whole number from 0").alias("limit_reason"),
     )
 
 

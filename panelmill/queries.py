@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 from .functions import colors, families as fam, values as val
 from .functions.percent import percent_label
-from .operators import correlation, counts, describe, grouping, ordering, samples
+from .operators import correlation, counts, describe, grouping, ordering, quantiles, samples
 from .plans import charts, dashboards, ingest, profile, replies
 from .sources import catalog, documents as docs, uploads, workbooks
 
@@ -269,7 +269,7 @@ PRIMARY = ", ".join(f"'{c}'" for c in colors.palette("primary"))
 def colors_of_points(spark, folder):
     """Colours repeat after the last one; borders are opaque."""
     shown = charts.chart_points(table(spark, folder, "part"), {
-        "chart_type": "bar", "source_columns": ["p_brand"], "limit": 1000})
+        "chart_type": "bar", "source_columns": ["p_brand"], "limit": None})
     return shown.select("ordinal", "label", "color", colors.border_of(F.col("color")).alias("border"))
 
 
@@ -806,14 +806,182 @@ def sheet_dashboards(spark, folder):
     return one.select(fam.FILE_COLUMN, "title", "summary", F.col("c.title").alias("chart"), F.inline(zipped))
 
 
-@query()
+@query("""select page_id, case when page_id % 4 = 3 then 'extension' when length(html) > 2000 then 'too_large'
+    when page_id % 4 = 1 and page_id % 3 = 1 then 'legacy_format' when page_id % 3 <> 0 then 'content' end as reason from pages""")
 def file_check(spark, folder):
-    """The table files themselves against the upload rules, by name, size and first bytes."""
-    return uploads.check_folder(spark, folder)
+    """Pages as uploaded files: names, sizes and first bytes against the upload rules."""
+    pages = table(spark, folder, "pages")
+    at, kind = F.col("page_id") % 4, F.col("page_id") % 3
+    name = F.concat(F.lit("file"), F.when(at == 0, ".xlsx").when(at == 1, ".xls").when(at == 2, ".XLSX").otherwise(".csv"))
+    magic = F.when(kind == 0, uploads.ZIP_MAGIC).when(kind == 1, uploads.COMPOUND_MAGIC).otherwise(F.hex(F.substring("html", 1, 4)))
+    return pages.select("page_id", uploads.rejection(name, F.length("html"), magic=magic, max_size=2000).alias("reason"))
 
 
-@query()
+@query("""select path, file_id, file_id || '_' || regexp_extract(path, '[^/]*$') as stored_name from (
+    select url as path, substr(sha256(url || '|' || length(html)), 1, 32) as file_id from pages)""")
 def landing(spark, folder):
-    """Upload requests with fresh ids and stored names; ids are random."""
+    """Upload requests with their ids and stored names."""
     asked = table(spark, folder, "pages").select(F.col("url").alias("path"), F.length("html").alias("length"))
-    return uploads.landed(asked).select("path", F.length("file_id").alias("id_length"), F.col("stored_name").endswith(F.element_at(F.split("path", "/"), -1)).alias("named"))
+    return uploads.landed(asked).select("path", "file_id", "stored_name")
+
+
+@query("""select url as path, case when page_id % 5 = 0 then 'refused' when page_id % 5 = 1 then 'unreadable' when page_id % 5 = 2 then 'empty'
+    when page_id % 2 = 0 then 'known' else 'new' end as outcome,
+    case when page_id % 5 > 2 then substr(sha256(url || '|' || length(html)), 1, 32) end as dashboard_id from pages""")
+def file_outcomes(spark, folder):
+    """What becomes of every file of a run: pages stand for files, some refused, unreadable, empty or known."""
+    pages, kind = table(spark, folder, "pages"), F.col("page_id") % 5
+    files = uploads.landed(pages.select(F.col("url").alias("path"), F.length("html").alias("length"), "page_id"))
+    files = files.select("*", F.when(kind == 0, "content").alias("reason"), (kind != 0).alias("accepted"))
+    rows = pages.where(kind != 0).select(F.col("url").alias(fam.FILE_COLUMN), F.explode(
+        F.when(kind == 1, F.array(F.lit(-1))).when(kind == 2, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias(fam.ROW_COLUMN))
+    stored = files.where("page_id % 2 = 0").select(F.col("file_id").alias("dashboard_id"))
+    return ingest.file_outcomes(files, rows, stored).select("path", "outcome", "dashboard_id")
+
+
+# Quantiles
+
+@query("""select l_returnflag as key, round(quantile_cont(1e9 + l_orderkey * 0.001 + l_linenumber * 0.0001, 0.5), 4) as middle
+    from lineitem group by 1""")
+def quantiles_offset(spark, folder):
+    """Medians of values that lie close together far from zero."""
+    values = table(spark, folder, "lineitem").select(
+        F.col("l_returnflag").alias("key"), (F.lit(1e9) + F.col("l_orderkey") * 0.001 + F.col("l_linenumber") * 0.0001).alias("v"))
+    return rounded(quantiles.quantile_columns(values, ["key"], "v", {"middle": 0.5}), 4)
+
+
+@query("""select key, round(quantile_cont(l_extendedprice, 0.25), 4) as low, round(quantile_cont(l_extendedprice, 0.5), 4) as middle from (
+    select case when l_linenumber < 4 then 'most' else 'part ' || (l_partkey % 500) end as key, l_extendedprice from lineitem) group by 1""")
+def group_median_mixed_sizes(spark, folder):
+    """One group of about half of all rows beside many small ones."""
+    key = F.when(F.col("l_linenumber") < 4, "most").otherwise(F.concat(F.lit("part "), F.col("l_partkey") % 500))
+    values = table(spark, folder, "lineitem").select(key.alias("key"), "l_extendedprice")
+    return rounded(quantiles.quantile_columns(values, ["key"], "l_extendedprice", {"low": 0.25, "middle": 0.5}), 4)
+
+
+# Payloads of any size
+
+def payload_points(payload: DataFrame, *more: str) -> DataFrame:
+    """The points of a payload, one row each, numbered over all parts."""
+    fields = ", ".join(["data: array<double>", *[f"{m}: array<double>" for m in more]])
+    parsed = payload.select("part", F.from_json("payload", f"labels array<string>, datasets array<struct<{fields}>>").alias("p"))
+    parsed = parsed.select("part", "p.labels", F.col("p.datasets")[0].alias("d"))
+    zipped = F.arrays_zip(F.col("labels").alias("label"), F.col("d.data").alias("value"), *[F.col(f"d.{m}").alias(m) for m in more])
+    at = parsed.select("part", F.posexplode(zipped).alias("at", "p"))
+    return at.select((F.col("part") * charts.POINTS_PER_PART + F.col("at") + 1).alias("ordinal"), "p.label", "p.value", *[f"p.{m}" for m in more])
+
+
+@query("""select row_number() over (order by n desc, o_orderkey) as ordinal, cast(o_orderkey as varchar) as label, n as value
+    from (select o_orderkey, cast(count(*) as double) as n from orders group by 1)""")
+def chart_payload_unlimited(spark, folder):
+    """A chart without a limit, one bar per order, in parts."""
+    return payload_points(charts.chart_payload(table(spark, folder, "orders"), {"chart_type": "bar", "source_columns": ["o_orderkey"], "limit": None}))
+
+
+@query("""select row_number() over (order by n desc, k) as ordinal, k as label, n as value, round(n / sum(n) over () * 100, 6) as percentages
+    from (select o_orderpriority as k, cast(count(*) as double) as n from orders group by 1)""")
+def bar_payload_with_shares(spark, folder):
+    """A bar chart that asks for shares has them in its payload."""
+    spec = {"chart_type": "bar", "source_columns": ["o_orderpriority"], "show_percentages": True}
+    return rounded(payload_points(charts.chart_payload(table(spark, folder, "orders"), spec), "percentages"))
+
+
+# The catalog, by owner, id and page
+
+@query(f"""select cast(user_id as varchar) as dashboard_id, event_type as title, total from (
+    select *, count(*) over () as total from {LIVE} where user_id = (select max(user_id) from {LIVE}))""")
+def catalog_list_owner(spark, folder):
+    """The page of one owner: the one with the greatest id among the live dashboards."""
+    versions = event_versions(spark, folder)
+    owner = catalog.current(versions).agg(F.max("user_id")).first()[0]
+    return catalog.list_page(versions, owner).select("dashboard_id", "title", "total")
+
+
+@query(f"""select cast(user_id as varchar) as dashboard_id, event_type as title, event_id as version from {LIVE}
+    where user_id = (select min(user_id) from {LIVE})""")
+def catalog_find(spark, folder):
+    """One dashboard by id and owner."""
+    versions = event_versions(spark, folder)
+    owner = catalog.current(versions).agg(F.min("user_id")).first()[0]
+    return catalog.find(versions, str(owner), owner).select("dashboard_id", "title", "version")
+
+
+@query("""select cast(s_suppkey as varchar) as dashboard_id, s_name as title, 'ready' as status, cast(1 as bigint) as version, false as deleted,
+    true as stamped from supplier where not exists (select 1 from events where user_id = s_suppkey)""")
+def catalog_create(spark, folder):
+    """First versions of dashboards whose id is free; the catalog holds the users of the events."""
+    asked = table(spark, folder, "supplier").select(
+        F.col("s_suppkey").cast("string").alias("dashboard_id"), F.col("s_suppkey").alias("user_id"), F.col("s_name").alias("title"), F.lit("[]").alias("charts"))
+    made = catalog.created_versions(event_versions(spark, folder), asked)
+    return made.select("dashboard_id", "title", "status", "version", "deleted", F.col("created_at").isNotNull().alias("stamped"))
+
+
+@query("""select cast(c_nationkey as varchar) as dashboard_id,
+    case when exists (select 1 from events where user_id = c_nationkey) then 'taken' else 'repeated' end as reason
+    from customer group by c_nationkey having exists (select 1 from events where user_id = c_nationkey) or count(*) > 1""")
+def catalog_create_conflicts(spark, folder):
+    """Ids that are taken, or repeated in the batch."""
+    asked = table(spark, folder, "customer").select(F.col("c_nationkey").cast("string").alias("dashboard_id"))
+    return catalog.create_conflicts(event_versions(spark, folder), asked)
+
+
+@query(f"""select cast(user_id as varchar) as dashboard_id, title, event_id + 1 as version from {LIVE} join (
+    select o_custkey, arg_max('order ' || o_orderkey, o_orderkey) as title from orders group by 1) on o_custkey = user_id""")
+def catalog_update_duplicates(spark, folder):
+    """Many updates of one dashboard in a batch: the last by the given order holds, once."""
+    updates = table(spark, folder, "orders").select(
+        F.col("o_custkey").cast("string").alias("dashboard_id"), F.col("o_custkey").alias("user_id"),
+        F.concat(F.lit("order "), F.col("o_orderkey")).alias("title"), F.col("o_orderkey").alias("seq"))
+    return catalog.updated_versions(event_versions(spark, folder), updates, "seq").select("dashboard_id", "title", "version")
+
+
+@query("""select o_orderkey, p from (select o_orderkey, nullif(o_orderpriority, '5-LOW') as p from orders)
+    where (p is not null or o_orderkey > (select min(o_orderkey) from orders where o_orderpriority = '5-LOW'))
+    order by p nulls first, o_orderkey limit 40""")
+def catalog_page_after(spark, folder):
+    """The page after a row whose first order value is null."""
+    rows = orders_with_nulls(spark, folder).select("o_orderkey", F.col("o_orderpriority").alias("p"))
+    last = rows.where("p IS NULL").agg(F.min("o_orderkey")).first()[0]
+    return ordering.page(rows, ["p", "o_orderkey"], 40, after={"p": None, "o_orderkey": last})
+
+
+@query(f"""select least(100, (select count(*) from {LIVE})) as page_size, (select count(*) from {LIVE}) as total,
+    least(100, (select count(*) from {LIVE})) as listed""")
+def page_document(spark, folder):
+    """The JSON answer to a list request."""
+    document = catalog.page_document(catalog.list_page(event_versions(spark, folder)))
+    body = F.from_json("document", "dashboards array<string>, page_size bigint, total bigint")
+    return document.select(body.alias("b")).select("b.page_size", "b.total", F.size("b.dashboards").cast("bigint").alias("listed"))
+
+
+@query("""select 'shown' as chart, row_number() over (order by n desc, k) as ordinal, k as label, n as value
+    from (select cast(o_orderdate as varchar) as k, cast(count(*) as double) as n from orders group by 1)
+    union all select 'missing', 1, 'No Data', 0""")
+def no_data(spark, folder):
+    """A chart of a table of dates, and the placeholder where a spec names a column that the table lacks."""
+    dates = table(spark, folder, "orders").select("o_orderdate")
+    shown = charts.chart_points(dates.withColumn("o_orderdate", F.col("o_orderdate").cast("date").cast("string")),
+                                {"chart_type": "bar", "source_columns": ["o_orderdate"], "limit": None})
+    missing = charts.chart_points(dates, {"chart_type": "bar", "source_columns": ["missing"]})
+    return points(shown).withColumn("chart", F.lit("shown")).unionByName(points(missing).withColumn("chart", F.lit("missing")))
+
+
+@query("""select n_name, case when exists (select 1 from supplier where s_nationkey = n_nationkey and s_acctbal < 0) then 'rows' else 'empty' end as state from nation""")
+def empty_input(spark, folder):
+    """Whether each nation's table of suppliers in debt has rows, as status instead of an error."""
+    debtors = table(spark, folder, "supplier").where("s_acctbal < 0").select(F.col("s_nationkey").alias("n_nationkey")).distinct()
+    found = table(spark, folder, "nation").join(debtors.withColumn("found", F.lit(True)), "n_nationkey", "left")
+    return found.select("n_name", F.when(F.col("found"), "rows").otherwise("empty").alias("state"))
+
+
+@query("""select event_id, cast(1 as bigint) as chart_no,
+    case event_id % 6 when 0 then 15 when 1 then 15 when 2 then null when 3 then 7 when 4 then 15 else 0 end as "limit",
+    event_id % 6 in (0, 1, 4) as refused from events where event_id % 7 <> 0""")
+def reply_specs_malformed(spark, folder):
+    """Limits that are texts, negative, null, whole, broken or 0; and replies whose charts are no list."""
+    at = F.col("event_id") % 6
+    limit = F.when(at == 0, '"ten"').when(at == 1, "-3").when(at == 2, "null").when(at == 3, "7").when(at == 4, "2.5").otherwise("0")
+    listed = F.concat(F.lit('{"charts": [{"data_config": {"limit": '), limit, F.lit("}}]}"))
+    texts = table(spark, folder, "events").select("event_id", F.when(F.col("event_id") % 7 == 0, '{"charts": "none"}').otherwise(listed).alias("text"))
+    specs = replies.chart_specs(replies.read_replies(texts, "text"), ["event_id"])
+    return specs.select("event_id", "chart_no", "limit", F.col("limit_reason").isNotNull().alias("refused"))

@@ -32,6 +32,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a catalog at a place, on any file system that Spark reads."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def append(versions: DataFrame, path: str) -> None:
     versions.write.mode("append").parquet(path)
 
@@ -73,9 +79,10 @@ def _arranged(df: DataFrame) -> DataFrame:
 
 def latest(versions: DataFrame, key: str | list[str], version: str) -> DataFrame:
     """The row with the highest version per key. Every task first keeps one row per key of its own, so a
-    key with very many versions does not gather in one task."""
+    key with very many versions does not gather in one task. Rows of one version are told apart by a hash
+    of all their columns, so the choice is the same in every run."""
     keys = [key] if isinstance(key, str) else key
-    order = Window.partitionBy(*keys).orderBy(F.col(version).desc())
+    order = Window.partitionBy(*keys).orderBy(F.col(version).desc(), F.xxhash64(*[raw(c) for c in versions.columns]).desc())
     return versions.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") == 1).drop("_rank")
 
 
@@ -95,11 +102,15 @@ def list_page(versions: DataFrame, owner: int | None = None, limit: int | None =
               after: dict | None = None) -> DataFrame:
     """One page of all dashboards, or of one owner's, oldest first, with the true `total` on every row.
 
-    An owner never changes after creation, so the owner filter goes below the version ranking.
+    An owner never changes after creation, so the owner filter goes below the version ranking. Ranking, page
+    and total look at the narrow columns only; documents are fetched for the dashboards of the page.
     """
     rows = versions if owner is None else versions.where(F.col("user_id") == owner)
-    live = current(rows)
-    return page(live, PAGE_ORDER, limit, offset, after).withColumn("total", live.agg(F.count(F.lit(1)).alias("n")).scalar())
+    live = current(rows.select("dashboard_id", "version", "deleted", "created_at"))
+    shown = page(live, PAGE_ORDER, limit, offset, after).select("dashboard_id", "version")
+    documents = latest(rows.join(shown, ["dashboard_id", "version"], "left_semi"), "dashboard_id", "version")
+    listed = documents.select(*rows.columns).withColumn("total", live.agg(F.count(F.lit(1)).alias("n")).scalar())
+    return listed.orderBy(*PAGE_ORDER)
 
 
 def public_documents(dashboards: DataFrame) -> DataFrame:
@@ -139,13 +150,38 @@ def refused(requests: DataFrame, dashboards: DataFrame, keys: list[str] = ["dash
     return requests.join(dashboards.select(*keys), keys, "left_anti")
 
 
-def updated_versions(versions: DataFrame, updates: DataFrame) -> DataFrame:
+def one_per_key(rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """One row per key: the greatest by `order`, nulls last, and among equals the greatest hash of all columns."""
+    by = [raw(order).desc_nulls_last()] if order else []
+    ranked = Window.partitionBy(*[raw(k) for k in keys]).orderBy(*by, F.xxhash64(*[raw(c) for c in rows.columns]).desc())
+    return rows.withColumn("_rank", F.row_number().over(ranked)).where("_rank = 1").drop("_rank")
+
+
+def created_versions(versions: DataFrame, dashboards: DataFrame, order: str | None = None) -> DataFrame:
+    """First versions of the dashboards whose id no version has yet, deleted ones included; one per id of the batch.
+
+    Unlike `new_versions` this looks at the catalog; `create_conflicts` names the ids that are taken.
+    """
+    fresh = dashboards.join(versions.select("dashboard_id"), "dashboard_id", "left_anti")
+    return new_versions(one_per_key(fresh, ["dashboard_id"], order))
+
+
+def create_conflicts(versions: DataFrame, dashboards: DataFrame) -> DataFrame:
+    """`dashboard_id`, `reason` of incoming ids: taken in the catalog, or repeated in the batch."""
+    counted = dashboards.groupBy("dashboard_id").agg(F.count(F.lit(1)).alias("_n"))
+    taken = counted.join(versions.select("dashboard_id").distinct().withColumn("_taken", F.lit(True)), "dashboard_id", "left")
+    reason = F.when(F.col("_taken"), "taken").when(F.col("_n") > 1, "repeated")
+    return taken.select("dashboard_id", reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def updated_versions(versions: DataFrame, updates: DataFrame, order: str | None = None) -> DataFrame:
     """New versions for the updates whose user owns the dashboard; columns absent from `updates` stay.
 
-    At most one update per dashboard is meaningful in a batch.
+    Of several updates of one dashboard in a batch one holds, see `one_per_key`.
     """
     given = [c for c in UPDATABLE if c in updates.columns]
-    changes = updates.select("dashboard_id", "user_id", *[_text_of(updates, c).alias(f"_{c}") for c in given])
+    single = one_per_key(updates, ["dashboard_id", "user_id"], order)
+    changes = single.select("dashboard_id", "user_id", *[_text_of(updates, c).alias(f"_{c}") for c in given])
     rows = changes.join(current(versions), ["dashboard_id", "user_id"])
     replaced = rows.withColumns({**{c: F.col(f"_{c}") for c in given},
                                  "updated_at": F.current_timestamp(), "version": F.col("version") + 1})
@@ -159,9 +195,11 @@ def tombstones(versions: DataFrame, deletes: DataFrame) -> DataFrame:
                                        "deleted": F.lit(True)}))
 
 
-def upsert(rows: DataFrame, updates: DataFrame, key: str | list[str]) -> DataFrame:
-    """Snapshot form of an update: rows without an update, and the updates. Applying it twice changes nothing."""
-    return rows.join(updates.select(*([key] if isinstance(key, str) else key)), key, "left_anti").unionByName(updates)
+def upsert(rows: DataFrame, updates: DataFrame, key: str | list[str], order: str | None = None) -> DataFrame:
+    """Snapshot form of an update: rows without an update, and one update per key. Applying it twice changes nothing."""
+    keys = [key] if isinstance(key, str) else key
+    single = one_per_key(updates, keys, order)
+    return rows.join(updates.select(*keys), keys, "left_anti").unionByName(single.select(*rows.columns))
 
 
 def without(rows: DataFrame, deletes: DataFrame, key: str | list[str]) -> DataFrame:

@@ -50,16 +50,16 @@ def list_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
 
 
 def check_folder(spark: SparkSession, folder: str, max_size: int = MAX_FILE_SIZE) -> DataFrame:
-    """`path, length, accepted, reason` of every file, by name, size and first bytes.
+    """`path, modificationTime, length, accepted, reason` of every file, by name, size and first bytes.
 
     Only files that pass name and size are opened: those filters reach the file source.
     """
     listed = list_files(spark, folder)
     by_name = rejection(F.col("path"), F.col("length"), max_size=max_size)
-    refused = listed.select("path", "length", by_name.alias("reason")).where(F.col("reason").isNotNull())
+    refused = listed.select("path", "modificationTime", "length", by_name.alias("reason")).where(F.col("reason").isNotNull())
     magic = F.hex(F.substring("content", 1, 4))
     opened = accepted_contents(spark, folder, max_size).select(
-        "path", "length", rejection(F.col("path"), F.col("length"), magic=magic, max_size=max_size).alias("reason"))
+        "path", "modificationTime", "length", rejection(F.col("path"), F.col("length"), magic=magic, max_size=max_size).alias("reason"))
     return refused.unionByName(opened).withColumn("accepted", F.col("reason").isNull())
 
 
@@ -69,13 +69,16 @@ def accepted_contents(spark: SparkSession, folder: str, max_size: int = MAX_FILE
     return files.where((F.col("length") <= max_size) & file_kind(F.col("path")).isNotNull())
 
 
-def landed(files: DataFrame, day: Column | None = None) -> DataFrame:
-    """Add a fresh `file_id`, the stored name `<file_id>_<name>` and the ingest date.
+def file_identity(files: DataFrame) -> Column:
+    """The same id for the same path, size and time of change in every run, as far as the table has them."""
+    known = [F.col(c).cast("string") for c in ("path", "length", "modificationTime") if c in files.columns]
+    return F.substring(F.sha2(F.concat_ws("|", *known), 256), 1, 32)
 
-    The id is random: write the result once and read it back, rather than computing it twice.
-    """
+
+def landed(files: DataFrame, day: Column | None = None) -> DataFrame:
+    """Add `file_id`, the stored name `<file_id>_<name>` and the ingest date."""
     name = F.element_at(F.split("path", "/"), -1)
-    rows = files.withColumn("file_id", F.uuid())
+    rows = files.withColumn("file_id", file_identity(files))
     return rows.withColumn("stored_name", F.concat_ws("_", "file_id", name)).withColumn(
         "ingest_date", day if day is not None else F.current_date())
 

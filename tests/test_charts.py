@@ -59,7 +59,8 @@ def test_pie_payload(travel):
 def test_bar_shares_only_when_asked(travel):
     spec = {"source_columns": ["Department"], "show_percentages": True}
     assert shown(travel, spec, "caption", "percentage")[0] == ("Sales", 50.0)
-    assert "percentages" not in payloads(travel, spec)[0]["datasets"][0]
+    assert payloads(travel, spec)[0]["datasets"][0]["percentages"] == [50.0, 25.0, 25.0]
+    assert "percentages" not in payloads(travel, {"source_columns": ["Department"]})[0]["datasets"][0]
     assert shown(travel, {"source_columns": ["Department"]}, "percentage")[0] == (None,)
 
 
@@ -171,5 +172,25 @@ def test_dashboard_from_reply(travel):
 
 def test_options_filter_and_cut_specs():
     specs = [{"chart_type": "bar"}, {"chart_type": "pie"}, {"chart_type": "bar", "title": "b"}]
-    assert [s.title for s in dashboards.selected(specs, ["bar"], 2)] == [None, "b"]
+    assert [s.title for s, _ in dashboards.selected(specs, ["bar"], 2)] == [None, "b"]
     assert len(dashboards.selected(specs)) == 3
+
+
+def test_bad_charts_become_placeholders(spark, travel):
+    asked = {"charts": [{"chart_type": "bar", "data_config": {"source_columns": ["Department", "Cost"], "aggregation": "no such"}},
+                        "text", {"chart_type": "pie", "title": "Kept", "data_config": {"source_columns": ["Department"], "limit": "ten"}}]}
+    shown = json.loads(dashboards.dashboard(travel, "t", asked).first()["charts"])
+    assert [c["status"] for c in shown] == ["error", "error", "ok"] and "no such" in shown[0]["reason"]
+    assert shown[0]["data"]["labels"] == ["No Data"] and len(shown[2]["data"]["labels"]) > 1
+    with pytest.raises(SpecError):
+        dashboards.dashboard(travel, "t", asked, on_error="raise")
+    for charts_given in ("none", None, {}, []):
+        assert "Dashboard" in dashboards.dashboard(travel, "t", {"charts": charts_given}).first()["title"]
+
+
+def test_one_document_per_chart_at_any_limit(spark):
+    frame = spark.range(10_001).selectExpr("string(id) AS k")
+    for limit in (10_000, 10_001, None):
+        spec = {"chart_type": "bar", "source_columns": ["k"], "limit": limit}
+        (chart,) = json.loads(dashboards.dashboard(frame, "t", {"charts": [spec]}).first()["charts"])
+        assert len(chart["data"]["labels"]) == 10_000 and chart["parts"] == (1 if limit == 10_000 else 2)

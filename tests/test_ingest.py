@@ -100,6 +100,26 @@ def test_folder_to_catalog(spark, folder, tmp_path):
     assert files.count() == 8 and files.where("accepted").count() == 4
 
 
+def test_ingestion_again(spark, folder, tmp_path):
+    """The same folder again appends nothing; a second folder appends its own files only."""
+    target = str(tmp_path / "target")
+    first = ingest.ingest_folder(spark, folder, target, user_id=7, max_size=8000)
+    again = ingest.ingest_folder(spark, folder, target, user_id=7, max_size=8000)
+    other = tmp_path / "other"
+    other.mkdir()
+    write_book(other / "third.xlsx", {1: ["Name"], 2: ["Zed"], 3: ["Zed"]})
+    third = ingest.ingest_folder(spark, str(other), target, user_id=7)
+    by_run = [{r["path"].rsplit("/", 1)[-1]: r["outcome"] for r in spark.read.parquet(run.outcomes).collect()} for run in (first, again, third)]
+    assert by_run[0] == {"trips.xlsx": "new", "more.XLSX": "new", "empty.xlsx": "empty", "broken.xlsx": "unreadable",
+                         "text.xlsx": "refused", "old.xls": "refused", "notes.csv": "refused", "huge.xlsx": "refused"}
+    assert by_run[1] == {**by_run[0], "trips.xlsx": "known", "more.XLSX": "known"}
+    assert by_run[2] == {"third.xlsx": "new"}
+    versions = catalog.read(spark, third.catalog)
+    assert versions.count() == 3 and versions.select("dashboard_id").distinct().count() == 3
+    (chart,) = json.loads(versions.where("title LIKE '%third%'").first()["charts"])
+    assert chart["data"]["datasets"][0]["data"] == [2] and chart["status"] == "ok"
+
+
 def test_table_sources(spark, gaps, tmp_path):
     gaps.write.csv(f"{tmp_path}/csv", header=True)
     gaps.write.orc(f"{tmp_path}/orc")
