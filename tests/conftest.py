@@ -28,8 +28,8 @@ def data():
 @pytest.fixture(scope="session")
 def travel(spark):
     rows = [
-        ("John Doe", "Sales", "2021-01-15", "New York", 1500), ("Jane Smith", "Marketing", "2021-02-10", "London", 2200),
-        ("Bob Johnson", "IT", "2021-03-05", "Tokyo", 3000), ("Alice Brown", "Sales", "2021-01-20", "Paris", 1800),
+        ("Jonas Pohl", "Harbour", "2023-04-02", "Lagos", 340), ("Ines Vidal", "Garden", "2023-06-11", "Bergen", 480),
+        ("Ben Osei", "Archive", "2023-08-23", "Turin", 610), ("Ada Quist", "Harbour", "2023-04-09", "Quito", 425),
     ]
     return spark.createDataFrame(rows, "`Employee Name` string, Department string, `Travel Date` string, Destination string, Cost long")
 
