@@ -18,7 +18,7 @@ import pyarrow as pa
 
 from .words import Block
 
-KNOWN_WORDS, KNOWN_PIECES = 400_000, 150_000
+KNOWN_WORDS, KNOWN_PIECES = 600_000, 100_000
 BLOCK = 1 << 20
 _LETTERS = "a-zß-öø-ÿ"
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
@@ -36,6 +36,16 @@ def _byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+def _block(texts: pa.Array) -> Block:
+    """Words in lower case, which the tokenizer makes them anyway, without the stops after them, which it always parts.
+
+    Only the strings of special tokens tell cases apart; where one might stand, cases count for the whole block.
+    """
+    block = Block(texts, lower=True, cut=True)
+    begins = block.data[:-1] == ord("<")
+    return Block(texts, cut=True) if (begins & (block.data[1:] == ord("|"))).any() else block
+
+
 class WordTokens:
     """Encodes blocks of texts; one instance per process and tokenizer file, see `of`."""
 
@@ -78,6 +88,7 @@ class WordTokens:
         return np.frombuffer(b"".join([self._piece(p) for p in _PIECES.findall(word.lower())]), np.int32)
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Add new words; `hashes` are in order."""
         first, known = len(self._hashes), [self.word(w) for w in words]
         lengths = np.fromiter(map(len, known), np.int64, len(known))
         flat = np.concatenate(known) if known else np.zeros(0, np.int32)
@@ -88,10 +99,9 @@ class WordTokens:
             self._flat = np.concatenate([self._flat, np.zeros_like(self._flat)])
         self._flat[self._used:self._used + len(flat)] = flat
         self._used += len(flat)
-        every = np.concatenate([self._hashes, hashes])
-        order = np.argsort(every, kind="stable")
-        self._slot_of = np.concatenate([self._slot_of, first + np.arange(len(hashes))])[order]
-        self._hashes = every[order]
+        at = np.searchsorted(self._hashes, hashes)
+        self._slot_of = np.insert(self._slot_of, at, first + np.arange(len(hashes)))
+        self._hashes = np.insert(self._hashes, at, hashes)
 
     def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.searchsorted(self._hashes, hashes)
@@ -113,7 +123,7 @@ class WordTokens:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block, and where those of each text begin (one more at the end)."""
-        block = Block(texts)
+        block = _block(texts)
         if not len(block.starts):
             return np.zeros(0, np.int32), np.zeros(block.texts + 1, np.int64)
         slots = self._slots(block)
@@ -124,7 +134,7 @@ class WordTokens:
 
     def counts(self, texts: pa.Array) -> np.ndarray:
         """How many ids each text of a block has."""
-        block = Block(texts)
+        block = _block(texts)
         if not len(block.starts):
             return np.zeros(block.texts, np.int64)
         slots = self._slots(block)

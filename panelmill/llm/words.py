@@ -20,6 +20,10 @@ _LOWERED = _VALUES.copy()
 _LOWERED[65:91] = _VALUES[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+_ASCII_WORD = np.zeros(256, bool)
+_ASCII_WORD[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_STOP = np.zeros(256, bool)
+_STOP[[ord(c) for c in ".,;:!?"]] = True
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -42,9 +46,10 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """The texts of one piece of a batch. `lower` makes A-Z equal to a-z in every hash."""
+    """The texts of one piece of a batch. `lower` makes A-Z equal to a-z in every hash; `cut` parts a word between an
+    ASCII letter or digit and a stop or comma of any kind after it."""
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, cut: bool = False):
         self.data, self.offsets = bytes_of(texts)
         self.texts = len(self.offsets) - 1
         self._values = _LOWERED if lower else _VALUES
@@ -56,6 +61,10 @@ class Block:
         ends[:-1] &= space[1:]
         begins[inner] = ~space[inner]
         ends[inner - 1] = ~space[inner - 1]
+        if cut:
+            parted = _ASCII_WORD[self.data[:-1]] & _STOP[self.data[1:]]
+            begins[1:] |= parted
+            ends[:-1] |= parted
         self.starts, self.ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.starts, self.offsets)  # words before each text; one more at the end
         self.n_words = np.diff(self.first)

@@ -170,7 +170,7 @@ def test_packing_nothing(nothing):
 def test_tokens_equal_the_tokenizer():
     import pyarrow as pa
 
-    texts = ["", " ", "Don't we'LL 'sabc ''d a1b2 x...!?", "<|endoftext|>a <|startoftext|> <|end", "À É ß ÿ × ÷ µ ª", "é ́a", "中文 テスト",
+    texts = ["", " ", "Don't we'LL 'sabc ''d a1b2 x...!?", "<|endoftext|>a <|startoftext|> <|end", "<|ENDOFTEXT|>. The. THE, <|endoftext|>. x?y", "a.b 1.5, x!'s it.'s é. .é ”. e.\u0301", "À É ß ÿ × ÷ µ ª", "é ́a", "中文 テスト",
              "İ ς Σ ſ K", "a\tb\nc\x0bd\x0ce\r", "😀!! 'S", "x" * 400, "½²Ⅷ٣", "a\u0000b \x7f \x85c d e"]
     whole = Tokenizer.from_file(VOCABULARY)
     ids, first = WordTokens.of(VOCABULARY).encode(pa.array(texts))
