@@ -26,10 +26,11 @@ def text_of(name: str = "text") -> Column:
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: a cut of the lineage that outlives any executor.
 
-    The files stay until the folder is cleaned; each call has a folder of its own, so reruns never meet.
+    The files stay until the folder is cleaned; each call has a folder of its own, so reruns never meet. Row groups
+    are small, because a task holds one in memory while it writes.
     """
     folder = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/panelmill-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(folder)
+    df.write.options(**{"compression": "zstd", "parquet.block.size": str(32 << 20)}).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
