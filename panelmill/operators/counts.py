@@ -60,11 +60,16 @@ def top_pairs(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def distinct_counts(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
-    """`column`, `unique_count` per column: exact in one shuffle on (column, value), or a sketch."""
+    """`column`, `unique_count` per column: exact in one shuffle on (column, digest), or a sketch.
+
+    What is shuffled is a 128-bit digest of each value as text, so its size does not depend on the texts.
+    """
     if approximate:
         sketches = df.agg(*[F.approx_count_distinct(clean(df, c)).alias(c) for c in columns])
         return sketches.unpivot([], [raw(c) for c in columns], "column", "unique_count")
-    counted = pair_counts(df, columns).groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"))
+    digests = df.select(*[F.unhex(F.md5(clean(df, c).cast("string").cast("binary"))).alias(c) for c in columns])
+    long = digests.unpivot([], [raw(c) for c in columns], "column", "digest").where("digest IS NOT NULL").distinct()
+    counted = long.groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"))
     return with_all_columns(df, columns, counted, unique_count=F.lit(0).cast("bigint"))
 
 

@@ -7,6 +7,7 @@ in different orders; row numbers and counts are bigint.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
@@ -313,10 +314,13 @@ def _describe_sql(source: str, columns: list[str]) -> str:
         round(quantile_cont({c}, 0.75), 6) as q75, cast(max({c}) as double) as max from {source}""" for c in columns)
 
 
-@query(_describe_sql("lineitem", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]))
+LINE_NUMBERS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query(_describe_sql("lineitem", LINE_NUMBERS))
 def describe_numeric(spark, folder):
-    """Count, mean, deviation, extremes and exact quartiles."""
-    return rounded(describe.describe_numeric(table(spark, folder, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]), std=4)
+    """Count, mean, deviation, extremes and exact quartiles of all numeric columns."""
+    return rounded(describe.describe_numeric(table(spark, folder, "lineitem")), std=4)
 
 
 @query(_describe_sql(NULLED, ["o_totalprice"]))
@@ -332,10 +336,10 @@ def _describe_text_sql(source: str, columns: list[str]) -> str:
         for c in columns)
 
 
-@query(_describe_text_sql("documents", ["lang", "source"]))
+@query(_describe_text_sql("documents", ["text", "lang", "source"]))
 def describe_categorical(spark, folder):
     """Count, distinct values, the most frequent one and its frequency."""
-    return describe.describe_categorical(table(spark, folder, "documents"), ["lang", "source"])
+    return describe.describe_categorical(table(spark, folder, "documents"))
 
 
 @query("""select 'ts' as "column", count(ts) as count, date_trunc('second', make_timestamp(cast(round(avg(epoch_us(ts))) as bigint))) as mean,
@@ -350,14 +354,13 @@ def describe_datetime(spark, folder):
         (second if c == "mean" else F.col(c)).cast("timestamp_ntz").alias(c) for c in ("mean", "min", "q25", "q50", "q75", "max")])
 
 
-PAIRS = [("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_quantity", "l_tax"),
-         ("l_extendedprice", "l_discount"), ("l_extendedprice", "l_tax"), ("l_discount", "l_tax")]
+PAIRS = list(combinations(LINE_NUMBERS, 2))
 
 
 @query(" union all ".join(f"select '{a}' as a, '{b}' as b, round(corr({a}, {b}), 6) as r from lineitem" for a, b in PAIRS))
 def correlations(spark, folder):
     """Pearson correlation of every pair of columns."""
-    return rounded(correlation.correlation_pairs(table(spark, folder, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]))
+    return rounded(correlation.correlation_pairs(table(spark, folder, "lineitem"), LINE_NUMBERS))
 
 
 @query(f"""select 'o_totalprice' as "column", 'o_custkey' as other, round(corr(o_totalprice, o_custkey), 6) as r from {NULLED}
@@ -386,11 +389,13 @@ def top_values_of_texts(spark, folder):
     return counts.top_values(table(spark, folder, "documents"), ["text", "source"])
 
 
-@query("""select 'event_type' as "column", count(distinct event_type) as unique_count from events
-    union all select 'user_id', count(distinct user_id) from events union all select 'props', count(distinct props) from events""")
+EVENT_COLUMNS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
+
+
+@query(" union all ".join(f"""select '{c}' as "column", count(distinct {c}) as unique_count from events""" for c in EVENT_COLUMNS))
 def distinct_counts(spark, folder):
-    """Exact distinct values per column."""
-    return counts.distinct_counts(table(spark, folder, "events"), ["event_type", "user_id", "props"])
+    """Exact distinct values of every column."""
+    return counts.distinct_counts(table(spark, folder, "events"), EVENT_COLUMNS)
 
 
 @query("select distinct lang from documents where lang is not null")
@@ -461,13 +466,36 @@ def analysis_document(spark, folder):
     return rounded(listed.where(F.col("value").isNotNull()))  # the median of dates is text
 
 
-@query("""select 'event_type' as "column", event_type as value, count(*) as n from events group by 2""")
+SUMMARY_SQL = " union all ".join([
+    "select 'rows' as part, '' as name, cast(count(*) as double) as value from events",
+    *[f"select 'missing', '{c}', cast(count(*) - count({c}) as double) from events" for c in EVENT_COLUMNS],
+    *[f"select 'unique', '{c}', cast(count(distinct {c}) as double) from events" for c in ("event_type", "props")],
+    *[f"(select 'top {c}', {c}, cast(count(*) as double) from events where {c} is not null group by {c} order by count(*) desc, {c} limit 5)"
+      for c in ("event_type", "props")],
+    *[f"select 'median', '{c}', round(quantile_cont({c}, 0.5), 6) from events" for c in ("event_id", "user_id", "value")],
+    *[f"select 'largest', '{c}', cast(max({c}) as double) from events" for c in ("event_id", "user_id", "value")],
+    *[f"select 'corr {a}', '{b}', round(corr({a}, {b}), 6) from events" for a in ("event_id", "user_id", "value") for b in ("event_id", "user_id", "value") if a != b],
+])
+
+
+@query(SUMMARY_SQL)
 def summary_document(spark, folder):
-    """The full summary document of a table; its top values are read back from the JSON."""
-    small = table(spark, folder, "events").select("event_id", "ts", "event_type", "value")
-    document = profile.summary_document(small, "events", "event_id")
-    tops = F.try_variant_get(F.parse_json("document"), "$.categorical_stats.event_type.top_values", "map<string,bigint>")
-    return document.select(F.lit("event_type").alias("column"), F.explode(tops).alias("value", "n"))
+    """The full summary document of a table with all its columns; its sections are read back from the JSON."""
+    document = profile.summary_document(table(spark, folder, "events"), "events", "event_id")
+    parsed = document.select(F.parse_json("document").alias("d"))
+    of = lambda path, kind: F.coalesce(F.try_variant_get("d", path, kind), F.lit(None).cast(kind))
+    entry = lambda part, name, value: F.struct(part.alias("part"), name.alias("name"), value.cast("double").alias("value"))
+    listed = lambda path, make: F.transform(F.map_entries(of(path, "map<string,double>")), make)
+    parts = [F.array(entry(F.lit("rows"), F.lit(""), of("$.shape.rows", "double"))),
+             listed("$.missing_values", lambda e: entry(F.lit("missing"), e["key"], e["value"]))]
+    for c in ("event_type", "props"):
+        parts.append(F.array(entry(F.lit("unique"), F.lit(c), of(f"$.categorical_stats.{c}.unique_count", "double"))))
+        parts.append(listed(f"$.categorical_stats.{c}.top_values", lambda e, i: entry(F.lit(f"top {c}"), e["key"], e["value"])))
+    for c in ("event_id", "user_id", "value"):
+        parts.append(F.array(entry(F.lit("median"), F.lit(c), of(f"$.basic_stats.{c}['50%']", "double")),
+                             entry(F.lit("largest"), F.lit(c), of(f"$.basic_stats.{c}.max", "double"))))
+        parts.append(F.filter(listed(f"$.correlations.{c}", lambda e, i: entry(F.lit(f"corr {c}"), e["key"], e["value"])), lambda e: e["name"] != c))
+    return rounded(parsed.select(F.inline(F.concat(*parts))))
 
 
 # Specs and dashboards
@@ -587,12 +615,14 @@ def reply_specs(spark, folder):
 
 
 @query("""select event_id, upper(substr(event_type, 1, 1)) || lower(substr(event_type, 2)) as capitalized,
-    case when props = '' then 0 else len(string_split(props, ',')) end as parts, coalesce(try_cast(nullif(event_type, '') as integer), 3) as charts from events""")
+    case when props = '' then 0 else len(string_split(props, ',')) end as parts, 
+    coalesce(try_cast(case when event_id % 2 = 0 then event_type else cast(event_id as varchar) end as integer), 3) as charts from events""")
 def option_values(spark, folder):
     """Option texts: first letter upper case, comma lists, whole numbers with a default."""
     return table(spark, folder, "events").select(
         "event_id", val.capitalized(F.col("event_type")).alias("capitalized"),
-        F.size(val.comma_list(F.col("props"))).alias("parts"), val.int_or_default(F.col("event_type"), 3).alias("charts"))
+        F.size(val.comma_list(F.col("props"))).alias("parts"), 
+        val.int_or_default(F.when(F.col("event_id") % 2 == 0, F.col("event_type")).otherwise(F.col("event_id").cast("string")), 3).alias("charts"))
 
 
 @query("""select o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') as iso, o_totalprice as price, o_orderpriority as priority from """ + NULLED)
