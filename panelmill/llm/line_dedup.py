@@ -1,9 +1,11 @@
 """Boilerplate lines of a site: lines on so large a share of the site's pages that they are not content.
 
-Counting: every page sends the distinct hashes of its own lines with its host, and a grouped count with map-side combine
-turns them into pages per host and line; a host's page total is a second small count. A line is boilerplate where its
-pages divided by the host's pages exceed the ratio. A page has on average some number of lines, so a host has at most
-that number divided by the ratio of boilerplate lines: the list per host does not grow with its pages.
+Counting: every page sends the distinct hashes of its own lines with its host and a hash of the whole page. Pages of the
+same text count once, or a page copied often enough would lose all it says; so the first grouped count makes page, host
+and line distinct, with map-side combine, and the second one counts pages per host and line. A host's page total is
+counted the same way. A line is boilerplate where its pages divided by the host's pages exceed the ratio. A page has on
+average some number of lines, so a host has at most that number divided by the ratio of boilerplate lines: the list per
+host does not grow with its pages. The key of the large shuffle holds the page, so no host or line is a hot spot.
 
 Removal: each page meets the list of its host in one join and filters its own lines in place; texts are not taken
 apart into rows. The table of lists is settled first, so Spark knows its size and broadcasts it only where it is small;
@@ -16,8 +18,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import settle, text_of
 
-RATIO = 0.3
-MIN_PAGES = 5
+RATIO = 0.1
+MIN_PAGES = 20
 
 
 def host_of(url: Column) -> Column:
@@ -34,17 +36,20 @@ def _known(line: Column) -> Column:
     return F.xxhash64(_line(line))
 
 
-def boilerplate(pages: DataFrame, host: Column, lines: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """`host, line, pages, host_pages`: the hashes of lines on more than `ratio` of the pages of a host.
+def boilerplate(pages: DataFrame, host: Column, text: Column, lines: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+    """`host, line, pages, host_pages`: the hashes of lines on more than `ratio` of the different pages of a host.
 
-    Lines without any character but white space, and hosts of fewer than `min_pages` pages, are left out: one page
-    says nothing about its site. Pages whose host is null have no site.
+    Lines without any character but white space, and hosts of fewer than `min_pages` different pages, are left out: a few
+    pages say nothing about their site. Pages whose host or text is null have no site.
     """
-    rows = pages.select(host.alias("host"), lines.alias("lines")).where("host IS NOT NULL")
+    rows = pages.select(host.alias("host"), text.alias("text"), lines.alias("lines")).where("host IS NOT NULL AND text IS NOT NULL")
+    rows = rows.select("host", F.xxhash64("text").alias("page"), "lines")
     own = F.array_distinct(F.transform(F.filter("lines", lambda x: _line(x) != ""), _known))
-    counts = rows.select("host", F.explode(own).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("pages"))
-    totals = rows.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages")).where(F.col("host_pages") >= min_pages)
-    return counts.where("pages > 1").join(totals, "host").where(F.col("pages") > F.col("host_pages") * F.lit(ratio))
+    once = rows.select("host", "page", F.explode(own).alias("line")).distinct()
+    counts = once.groupBy("host", "line").agg(F.count(F.lit(1)).alias("pages"))
+    totals = rows.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
+    return (counts.where("pages > 1").join(totals.where(F.col("host_pages") >= min_pages), "host")
+            .where(F.col("pages") > F.col("host_pages") * F.lit(ratio)))
 
 
 def drop_boilerplate(pages: DataFrame, host: Column, text_column: str = "text", split: str = "\n", ratio: float = RATIO,
@@ -53,14 +58,14 @@ def drop_boilerplate(pages: DataFrame, host: Column, text_column: str = "text",
 
     Lines are what stands between `split` (plain text); those that stay keep their order and bytes, joined as before. A text
     that is null stays null and has no lines, an empty one stays empty; a page all of whose lines go has an empty text. Rows
-    that repeat count as pages of their own. `dropped` names a column for how many lines went. Columns of any name may
+    that repeat count as one page and lose the same lines. `dropped` names a column for how many lines went. Columns of any name may
     be present: working columns live in frames of their own.
     """
     names = pages.columns
     at = names.index(text_column)
     shown = pages.select(*[F.col(f"`{n}`").alias(f"_c{i}") for i, n in enumerate(names)], host.alias("_host"))
     lines = F.split(f"_c{at}", f"\\Q{split}\\E", -1)
-    found = boilerplate(shown, F.col("_host"), lines, ratio, min_pages)
+    found = boilerplate(shown, F.col("_host"), F.col(f"_c{at}"), lines, ratio, min_pages)
     lists = settle(found.groupBy("host").agg(F.collect_list("line").alias("_list")), "boilerplate")
     joined = shown.join(lists.withColumnRenamed("host", "_host"), "_host", "left")
     kept = F.filter(lines, lambda x: ~F.array_contains(F.col("_list"), _known(x)))

@@ -225,10 +225,10 @@ def test_mixing(edge, nothing, documents):
 
 def test_lines(spark, edge, nothing):
     rows = [(i, f"h{i % 2}", "\n".join([f"own {i}", " menu ", "odd" if i % 4 == 1 else "x", f"own {i}"])) for i in range(20)]
-    rows += [(90, "solo", "menu\nmenu"), (91, "h0", "")]
+    rows += [(90, "solo", "menu\nmenu"), (91, "h0", ""), *[(100 + i, "h1", "copied\noften") for i in range(30)]]
     frame = spark.createDataFrame(rows, "doc_id long, host string, text string")
-    found = {r["doc_id"]: r for r in drop_boilerplate(frame, F.col("host"), dropped="lines_dropped").collect()}
-    assert {i: r["text"] for i, r in found.items()} == brute.without_boilerplate(rows)
+    found = {r["doc_id"]: r for r in drop_boilerplate(frame, F.col("host"), ratio=0.3, min_pages=5, dropped="lines_dropped").collect()}
+    assert {i: r["text"] for i, r in found.items()} == brute.without_boilerplate(rows, 0.3, 5)
     assert found[0]["lines_dropped"] == 2 and found[90]["lines_dropped"] == 0
     out = drop_boilerplate(edge, F.col("source"))
     assert out.columns == edge.columns and out.where("text IS NULL").count() == 2 and out.count() == edge.count()
