@@ -985,7 +985,7 @@ def page_document(spark, folder):
 
 
 @query("""select 'shown' as chart, row_number() over (order by n desc, k) as ordinal, k as label, n as value
-    from (select cast(o_orderdate as varchar) as k, cast(count(*) as double) as n from orders group by 1)
+    from (select cast(cast(o_orderdate as date) as varchar) as k, cast(count(*) as double) as n from orders group by 1)
     union all select 'missing', 1, 'No Data', 0""")
 def no_data(spark, folder):
     """A chart of a table of dates, and the placeholder where a spec names a column that the table lacks."""
