@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelmill.llm.common import settle, table
-from panelmill.llm.line_dedup import drop_boilerplate
+from panelmill.llm.line_dedup import PASSAGE_WORDS, drop_boilerplate
 from panelmill.llm.mixing import in_order, mix, slots_of
 from panelmill.llm.near_dedup import near_duplicates
 from panelmill.llm.packing import pack
@@ -23,8 +23,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that more than the ratio of their source's documents share; `n_chars` follows."""
-    cleaned = drop_boilerplate(docs, F.col("source"))
+    """All documents, without the lines that more than the ratio of their source's documents share; `n_chars` follows.
+
+    Of a long line that several documents of a source share at any ratio, the document with the smallest id keeps it.
+    """
+    cleaned = drop_boilerplate(docs, F.col("source"), passage_words=PASSAGE_WORDS, order=F.col("doc_id"))
     if "n_chars" not in docs.columns:
         return cleaned
     kind = docs.schema["n_chars"].dataType
