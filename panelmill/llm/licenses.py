@@ -3,8 +3,10 @@
 A text is cut into sentences, each normalised to lower-case words; a known sentence has a letter, any other a dash.
 A rule is a sequence of letters between which a few dashes may stand. Rules are tried in order at every place, longer
 and more specific ones first, so a licence text is reported once and not again as the notices within it. The cut is
-made twice, at line ends and at sentence ends alone, so wrapped text is found as well as unpunctuated notices. All of
-it is built-in functions on the row itself: nothing is shuffled, however often a licence occurs.
+made three times, at line ends, at sentence ends alone, and at sentence ends and blank lines, so wrapped text is found,
+also below a title without a full stop, as well as unpunctuated notices. A known sentence that the cut itself divides
+has a letter for each piece. All of it is built-in functions on the row itself: nothing is shuffled, however often a
+licence occurs.
 """
 
 from __future__ import annotations
@@ -78,16 +80,27 @@ def _coded(numbers: tuple[int, ...]) -> str:
 RULE_OF = {_coded(numbers): licence for licence, numbers in RULES}
 PATTERN = "|".join(f"-{{0,{MOST_DASHES}}}".join(_coded(numbers)) for _, numbers in RULES)
 SENTENCE_END = r"([.!?;:])\s+"
+# A line without letters and digits, as between paragraphs of a comment, is as good as a blank one.
+BLANK_LINE = r"\n[^A-Za-z0-9\n]*\n"
+
+# The known sentences as the cut leaves them: the first piece has the sentence's letter, the others have letters of their own.
+PIECES = [[normal(x) for x in re.sub(SENTENCE_END, "\\1\u0001", s).split("\u0001")] for s in SENTENCES]
+TAILS = dict(zip(dict.fromkeys(x for pieces in PIECES for x in pieces[1:]), LETTERS[len(SENTENCES):], strict=False))
+KNOWN_PIECES = {**TAILS, **{pieces[0]: LETTERS[i] for i, pieces in enumerate(PIECES)}}
+NO_HEAD = "[-" + "".join(TAILS.values()) + "]"
+PIECE_PATTERN = "|".join(f"{NO_HEAD}{{0,{MOST_DASHES}}}".join(
+    LETTERS[n - 1] + "".join(TAILS[x] for x in PIECES[n - 1][1:]) for n in numbers) for _, numbers in RULES)
 
 
 def _map(entries: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])
 
 
-def _letters(text: Column, by_line: bool) -> Column:
+def _letters(text: Column, cut: str) -> Column:
+    """The letters of a text cut at sentence ends and at what the pattern `cut` matches."""
     ended = F.regexp_replace(text, SENTENCE_END, "$1\u0001")
-    pieces = F.split(ended, "[\u0001\n]" if by_line else "\u0001", -1)
-    known = _map(KNOWN)
+    pieces = F.split(ended, f"\u0001|{cut}" if cut else "\u0001", -1)
+    known = _map(KNOWN_PIECES)
 
     def letter(sentence: Column) -> Column:
         words = F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
@@ -98,8 +111,8 @@ def _letters(text: Column, by_line: bool) -> Column:
 
 def _recognised(letters: Column) -> Column:
     rules = _map(RULE_OF)
-    found = F.regexp_extract_all(letters, F.lit(PATTERN), F.lit(0))
-    return F.transform(found, lambda m: F.element_at(rules, F.regexp_replace(m, "-", "")))
+    found = F.regexp_extract_all(letters, F.lit(PIECE_PATTERN), F.lit(0))
+    return F.transform(found, lambda m: F.element_at(rules, F.regexp_replace(m, NO_HEAD, "")))
 
 
 def scan_licenses(docs: DataFrame, text_column: str = "text") -> DataFrame:
@@ -110,8 +123,9 @@ def scan_licenses(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """
     names = [c for c in docs.columns if c.lower() not in ("licenses", "terms")]
     shown = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)], text_of(text_column).alias("_text"))
-    coded = shown.withColumns({"_lines": _letters(F.col("_text"), True), "_sentences": _letters(F.col("_text"), False)})
-    found = coded.withColumn("_found", F.array_distinct(F.concat(_recognised(F.col("_lines")), _recognised(F.col("_sentences")))))
+    cuts = {"_lines": "\n", "_sentences": "", "_paragraphs": BLANK_LINE}
+    coded = shown.withColumns({name: _letters(F.col("_text"), cut) for name, cut in cuts.items()})
+    found = coded.withColumn("_found", F.array_distinct(F.concat(*[_recognised(F.col(name)) for name in cuts])))
     terms = F.lit("")
     for name, members in TERMS.items():
         terms = F.when(F.arrays_overlap("_found", F.array(*[F.lit(m) for m in members])), name).otherwise(terms)

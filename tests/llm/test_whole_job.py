@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import textwrap
+
 import corpus_pipeline
+from panelmill.llm.licenses import RULES, SENTENCES, scan_licenses
 
 
 def test_line_dedup_of_rare_passages(spark):
@@ -16,3 +19,14 @@ def test_line_dedup_of_rare_passages(spark):
     texts = {r["doc_id"]: r["text"] for r in found}
     assert texts[32] == "own 32\nend 32" and texts[None] == "no id" and texts[302] is None
     assert all(texts[i] == t for i, t, _ in rows[:200] if passage not in t)
+
+
+def test_every_licence_rule_in_wrapped_text_below_a_title(spark):
+    texts = []
+    for _, numbers in RULES:
+        body = textwrap.wrap(" ".join(SENTENCES[n - 1] for n in numbers) + " And more words follow.", 60)
+        texts.append("\n".join(["Some Title", "", "Copyright (c) 2020 Some Holder", "", *body]))
+        texts.append("\n".join(["/*", *[f" * {x}".rstrip() for x in texts[-1].split("\n")], " */"]))
+    texts.append("Copyright Some Holder\n" + SENTENCES[23])
+    found = scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["licenses"] for r in found] == [[licence] for licence, _ in RULES for _ in range(2)] + [["MPL-2.0"]]
