@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -11,10 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ensure_checkpoint_dir
+from . import chat
+from .alignment import align_documents
 from .common import blocks, settle, table, text_of
 from .exact_dedup import exact_duplicates
 from .licenses import oracle, scan_licenses
 from .line_dedup import drop_boilerplate, host_of, html_lines
+from .merkle import manifest
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .packing import pack
@@ -187,3 +191,77 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 100 * n_dup_lines > 50 * n_lines) AS kept
 FROM judged
 """
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    return manifest(table(spark, sf_dir, "documents"), changes={"text": lowered}, where=F.crc32(F.col("doc_id").cast("string")) % 3 == 0)
+
+
+_CRC = """xor(4294967295, list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda a, c:
+    list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(a, c)), 4294967295::BIGINT))"""
+_BLANK_OR = lambda c, v=None: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {v or c}::VARCHAR, '-')"
+_LEAF = lambda text: f"sha256({' || '.join(_BLANK_OR(c) for c in ('doc_id', 'source', 'lang', 'n_chars'))} || {_BLANK_OR('text', text)})"
+_NEXT = "list_transform(range(0, len(nodes), 8), lambda i: sha256(array_to_string(nodes[i + 1:i + 8], '')))"
+_BEFORE, _AFTER = "array_to_string(nodes[pos - pos % 8 + 1:pos], '')", "array_to_string(nodes[pos + 2:pos - pos % 8 + 8], '')"
+ORACLE["op11_merkle_manifest"] = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, lang, {_LEAF('text')} AS leaf, CASE WHEN {_CRC} % 3 = 0 THEN {_LEAF(f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')")} END AS changed,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos
+  FROM documents
+), levels AS (
+  SELECT lang, 0 AS lvl, list(leaf ORDER BY pos) AS nodes FROM leaves GROUP BY lang
+  UNION ALL SELECT lang, lvl + 1, {_NEXT} FROM levels WHERE len(nodes) > 1
+), subs AS (SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM levels WHERE len(nodes) = 1),
+tops AS (
+  SELECT 0 AS lvl, list(subroot ORDER BY place) AS nodes FROM subs
+  UNION ALL SELECT lvl + 1, {_NEXT} FROM tops WHERE len(nodes) > 1
+), fold AS (
+  SELECT doc_id, lang, leaf, 0 AS lvl, pos, coalesce(changed, leaf) AS h, '' AS proof FROM leaves
+  UNION ALL SELECT doc_id, f.lang, leaf, f.lvl + 1, pos // 8, sha256({_BEFORE} || h || {_AFTER}), proof || {_BEFORE} || {_AFTER}
+  FROM fold f JOIN levels l ON l.lang IS NOT DISTINCT FROM f.lang AND l.lvl = f.lvl AND len(nodes) > 1
+), under AS (
+  SELECT doc_id, leaf, subroot, 0 AS lvl, place AS pos, h, proof FROM fold f JOIN subs s ON s.lang IS NOT DISTINCT FROM f.lang
+  JOIN levels l ON l.lang IS NOT DISTINCT FROM f.lang AND l.lvl = f.lvl AND len(nodes) = 1
+), climb AS (
+  FROM under UNION ALL SELECT doc_id, leaf, subroot, c.lvl + 1, pos // 8, sha256({_BEFORE} || h || {_AFTER}), proof || {_BEFORE} || {_AFTER}
+  FROM climb c JOIN tops t ON t.lvl = c.lvl AND len(nodes) > 1
+)
+SELECT doc_id, leaf, subroot, nodes[1] AS root, sha256(proof) AS proof_sha256, h AS folded_root, h = nodes[1] AS verified
+FROM climb c JOIN tops t ON t.lvl = c.lvl AND len(nodes) = 1
+"""
+
+
+@query
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations and one more whose texts hold control strings, read back from the formatted output."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = F.array(*[F.struct(F.lit(-1).alias("conv_id"), F.lit(i).alias("turn"), F.lit(role).alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+                     for i, role in enumerate(("user", "assistant"))])
+    found = chat.read_back(chat.format_chats(turns.unionByName(spark.range(1).select(F.inline(rows)))))
+    return found.select("conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
+                        F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars", "n_examples", "example_chars")
+
+
+CONTROL = r"([<\[])(\\*)(\|[A-Za-z0-9_]+\|>|/?s>|/?INST\]|</?SYS>>)"  # as in the template
+ORACLE["op12_chat_format"] = rf"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, i, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(i, r)
+), w AS (
+  SELECT *, row_number() OVER o AS pos,
+    length('<|turn|>' || role || chr(10) || regexp_replace(text, '{CONTROL}', '\1\\\2\3', 'g') || '<|end|>' || chr(10)) AS n
+  FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), s AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY pos) AS upto FROM w)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, sum(n)::BIGINT AS formatted_chars,
+  count(*) FILTER (WHERE role = 'assistant') AS n_examples, coalesce(sum(upto) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS example_chars
+FROM s GROUP BY conv_id
+"""
+
+
+@query
+def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
