@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.values import clean, raw
 
@@ -35,28 +35,59 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.where(key.isNotNull()).select(key.alias(column)).distinct()
 
 
-def pair_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """`column`, `value`, `n` for many columns in one scan and one shuffle.
+# A text of up to so many bytes is its own key in a count; of a longer one the key has its beginning and a digest.
+KEY_BYTES = 32
+# Keys whose texts are looked up through a broadcast; a column with more of them is counted by its texts.
+LOOKED_UP = 1000
 
-    Values are compared as text. The key of the shuffle is (column, value), so one wide or skewed
-    column spreads over all tasks.
-    """
+
+def _long(df: DataFrame, columns: list[str]) -> DataFrame:
+    """`column`, `value` as text, one row per cell that has a value."""
     texts = df.select(*[clean(df, name).cast("string").alias(name) for name in columns])
-    long = texts.unpivot([], [raw(name) for name in columns], "column", "value")
-    return long.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    return texts.unpivot([], [raw(name) for name in columns], "column", "value").where(F.col("value").isNotNull())
+
+
+def _key(value: Column) -> Column:
+    """A key of bounded size that tells texts apart and sorts as they do, up to KEY_BYTES."""
+    whole = value.cast("binary")
+    return F.when(F.octet_length(value) <= KEY_BYTES, whole).otherwise(F.concat(F.substring(whole, 1, KEY_BYTES), F.unhex(F.md5(whole))))
+
+
+def key_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """`column`, `key`, `n` for many columns in one scan and one shuffle, without a long text in it.
+
+    Values are compared as text, by 128-bit digests where they are long. The key of the shuffle is (column, key), so one wide or
+    skewed column spreads over all tasks, and a value on a third of all rows is one row per task.
+    """
+    return _long(df, columns).select("column", _key(F.col("value")).alias("key")).groupBy("column", "key").agg(F.count(F.lit(1)).alias("n"))
 
 
 def top_values(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
-    """The k most frequent values per column: `column`, `rank`, `value`, `n`."""
-    return top_pairs(pair_counts(df, columns), k)
+    """The k most frequent values per column: `column`, `rank`, `value`, `n`, ties by value."""
+    return top_of_keys(df, columns, key_counts(df, columns), k)
 
 
-def top_pairs(pairs: DataFrame, k: int) -> DataFrame:
-    """Top k rows per column of `pair_counts`. The rank filter runs before the shuffle too, so every
-    task sends at most k rows per column."""
-    order = Window.partitionBy("column").orderBy(*by_count())
-    ranked = pairs.withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= k).select("column", F.col("rank").cast("bigint").alias("rank"), "value", "n")
+def top_of_keys(df: DataFrame, columns: list[str], keys: DataFrame, k: int) -> DataFrame:
+    """The same from `key_counts`.
+
+    Two phases: keys are ranked by count and by the beginning they hold, ties of both included, which leaves few candidates;
+    then only their texts are fetched. A short text is its own key. The others are counted again as whole texts in a second scan,
+    which meets the candidates in a broadcast of at most LOOKED_UP keys per column. If more texts of a column share
+    the last count and beginning, the column's texts with that beginning are all counted. Without long candidates
+    adaptive execution leaves the second scan out.
+    """
+    ranked = keys.selectExpr("*", f"substring(key, 1, {KEY_BYTES}) AS start").selectExpr(
+        "*", "rank() OVER (PARTITION BY column ORDER BY n DESC, start) AS at").where(f"at <= {k}")
+    short = ranked.where(f"length(key) <= {KEY_BYTES}").selectExpr("column", "string(key) AS value", "n")
+    few = ranked.where(f"length(key) > {KEY_BYTES}").selectExpr(
+        "*", "row_number() OVER (PARTITION BY column ORDER BY at, key) AS no").where(f"no <= {LOOKED_UP + 1}")
+    wanted = few.selectExpr("column", "start", "key", f"max(no) OVER (PARTITION BY column) > {LOOKED_UP} AS every").groupBy("column", "start").agg(
+        F.collect_list("key").alias("keys"), F.bool_or("every").alias("every"))
+    rows = _long(df, columns).where(f"octet_length(value) > {KEY_BYTES}").selectExpr("*", f"substring(binary(value), 1, {KEY_BYTES}) AS start")
+    found = rows.join(F.broadcast(wanted), ["column", "start"]).withColumn("key", _key(F.col("value"))).where("every OR array_contains(keys, key)")
+    whole = short.unionByName(found.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
+    shown = whole.selectExpr("column", "row_number() OVER (PARTITION BY column ORDER BY n DESC, value) AS rank", "value", "n")
+    return shown.where(f"rank <= {k}").selectExpr("column", "bigint(rank) AS rank", "value", "n")
 
 
 def distinct_counts(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -33,32 +33,45 @@ def column_profile(df: DataFrame) -> DataFrame:
         for i, (c, f) in enumerate(fam.families(df).items())
     ])
     named = df.sparkSession.range(1).select(F.inline(heads))
-    missing = describe.missing_values(df)
-    stats = _statistics(df)
-    joined = named.join(missing, "column", "left")
-    if stats is not None:
-        joined = joined.join(stats, "column", "left")
-    return joined
-
-
-def _statistics(df: DataFrame) -> DataFrame | None:
-    """Statistics of every column that has some, as text where families differ in form."""
-    parts = []
-    numbers, times = fam.numeric_columns(df), fam.time_columns(df)
+    stats = _facts(df).select(F.inline(_statistics(df)))
+    return named.join(stats, "column", "left")
+
+
+def _facts(df: DataFrame) -> DataFrame:
+    """One row: `overview`, and by column name `quartiles` and `texts`, each from a subquery of its own."""
     texts = fam.columns_of(df, fam.CATEGORICAL, fam.BOOLEAN)
-    if numbers or times:
-        table, is_time = describe.measures(df, numbers, times), F.col("column").isin(*times)
-        shown = [F.when(is_time, _moment_text(s)).otherwise(raw(s).cast("string")).alias(s) for s in list(NUMERIC_NAMES)[1:]]
-        parts.append(table.select("column", "count", *shown))
-    if texts:
-        parts.append(describe.describe_categorical(df, texts))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
+    shape = "struct<unique: bigint, top: string, freq: bigint>"
+    found = _nothing(shape) if not texts else _as_map(describe.describe_categorical(df, texts), "column", F.struct("unique", "top", "freq"))
+    return df.sparkSession.range(1).select(
+        describe.overview(df).alias("overview"), _quartiles(df, fam.numeric_columns(df), fam.time_columns(df)).alias("quartiles"), found.alias("texts"))
+
+
+def _statistics(df: DataFrame) -> Column:
+    """From the row of `_facts`, per column of the table: `column, missing, count, unique, top, freq`, and the other statistics as text."""
+    times = fam.time_columns(df)
+    counted = fam.columns_of(df, fam.CATEGORICAL, fam.BOOLEAN, fam.NUMERIC, fam.DATETIME)
+
+    def one(x: Column) -> Column:
+        q, t = (F.try_element_at(F.col(name), x["column"]) for name in ("quartiles", "texts"))
+        values = {"mean": x["mean"], "std": x["std"], "min": x["min"], "q25": q["q25"], "q50": q["q50"], "q75": q["q75"], "max": x["max"]}
+        is_time = x["column"].isin(*times)
+        moment = lambda s, v: F.lit(None).cast("string") if s == "std" else iso(describe.as_moment(v), T.TimestampType())
+        count = F.when(x["column"].isin(*counted), x["count"])
+        return F.struct(x["column"].alias("column"), x["missing"].alias("missing"), count.alias("count"), *[t[s].alias(s) for s in ("unique", "top", "freq")],
+                        *[F.when(is_time, moment(s, v)).otherwise(v.cast("string")).alias(s) for s, v in values.items()])
 
+    return F.transform("overview.columns", one)
 
-def _moment_text(statistic: str) -> Column:
-    if statistic == "std":
-        return F.lit(None).cast("string")
-    return iso(describe.as_moment(raw(statistic)), T.TimestampType())
+
+def _quartiles(df: DataFrame, numbers: list[str], times: list[str]) -> Column:
+    """Column name to exact quartiles, a scalar subquery."""
+    if not numbers + times:
+        return _nothing("struct<q25: double, q50: double, q75: double>")
+    return _as_map(describe.quartiles(df, numbers, times), "column", F.struct("q25", "q50", "q75"))
+
+
+def _nothing(values: str) -> Column:
+    return F.create_map().cast(f"map<string, {values}>")
 
 
 def _as_map(table: DataFrame, key: str, value: Column) -> Column:
@@ -79,34 +92,35 @@ def _literal_map(pairs: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(part) for pair in pairs.items() for part in pair])
 
 
-def _rows(df: DataFrame) -> Column:
-    return describe.row_count(df).scalar()
+def _missing() -> Column:
+    return _by_column(F.col("overview.columns"), lambda x: x["missing"])
 
 
-def _missing(df: DataFrame) -> Column:
-    return _as_map(describe.missing_values(df), "column", F.col("missing"))
+def _by_column(columns: Column, value: Callable[[Column], Column]) -> Column:
+    """An array with one struct per column as a map by column name, in the order of names."""
+    entries = F.transform(columns, lambda x: F.struct(x["column"].alias("k"), value(x).alias("v")))
+    return F.map_from_entries(F.array_sort(entries, _by_key))
 
 
 def analysis_document(df: DataFrame) -> DataFrame:
     """One row, `document`: columns, rows, families, statistics, missing values and types as JSON.
 
-    Statistics that do not apply to a column are empty texts.
+    Statistics that do not apply to a column are empty texts. Besides the passes of the quartiles there are two scans: one
+    for rows, missing values and moments, one for the counts of texts.
     """
-    table = _statistics(df)
-    fields = [F.lit("analysis").alias("_")] if table is None else [
-        or_blank(raw(s)).alias(n) for s, n in {**TEXT_NAMES, **NUMERIC_NAMES}.items() if s in table.columns
-    ]
-    summary = F.lit(None).cast("string") if table is None else _as_map(table, "column", F.struct(*fields))
+    shown = {"count": "count", **TEXT_NAMES, **NUMERIC_NAMES}
+    described = F.filter(_statistics(df), lambda x: x["count"].isNotNull())
+    summary = _by_column(described, lambda x: F.struct(*[or_blank(x[s]).alias(n) for s, n in shown.items()]))
     body = F.struct(
         _names(fam.data_columns(df)).alias("columns"),
-        _rows(df).alias("rows"),
+        F.col("overview.rows").alias("rows"),
         _names(fam.numeric_columns(df)).alias("numeric_columns"),
         _names(fam.categorical_columns(df)).alias("categorical_columns"),
         summary.alias("summary"),
-        _missing(df).alias("missing_values"),
+        _missing().alias("missing_values"),
         _literal_map(fam.data_types(df)).alias("data_types"),
     )
-    return df.sparkSession.range(1).select(F.to_json(body, JSON_OPTIONS).alias("document"))
+    return _facts(df).select(F.to_json(body, JSON_OPTIONS).alias("document"))
 
 
 def sample_columns(df: DataFrame, order_by: str | list[str], limit: int = 10) -> Column:
@@ -128,18 +142,19 @@ def _by_ordinal(a: Column, b: Column) -> Column:
 def summary_document(df: DataFrame, source: str, order_by: str | list[str], pretty: bool = False) -> DataFrame:
     """One row, `document`: the full profile that describes a table to a reader or a model.
 
-    Every section is a subquery over a table of schema size; the sections run side by side.
+    Every section is a subquery over a table of schema size; the sections run side by side. Rows, missing values and moments
+    come from one scan; texts have one, correlations two, and the samples one each.
     """
     numbers, texts, times = fam.numeric_columns(df), fam.categorical_columns(df), fam.time_columns(df)
     parts = [
         F.lit(source).alias("filename"),
-        F.struct(_rows(df).alias("rows"), F.lit(len(fam.data_columns(df))).alias("columns")).alias("shape"),
+        F.struct(F.col("overview.rows").alias("rows"), F.lit(len(fam.data_columns(df))).alias("columns")).alias("shape"),
         F.struct(_names(numbers).alias("numeric"), _names(texts).alias("categorical"),
                  _names(fam.data_columns(df)).alias("all_columns")).alias("columns"),
         sample_columns(df, order_by).alias("sample_data"),
         _literal_map(fam.data_types(df)).alias("data_types"),
-        _missing(df).alias("missing_values"),
-        (_basic_stats(df, numbers) if numbers else _empty()).alias("basic_stats"),
+        _missing().alias("missing_values"),
+        (_basic_stats(numbers) if numbers else _empty()).alias("basic_stats"),
         (_correlations(df, numbers) if len(numbers) > 1 else _empty()).alias("correlations"),
         _empty().alias("trends"),
         _empty().alias("outliers"),
@@ -149,16 +164,20 @@ def summary_document(df: DataFrame, source: str, order_by: str | list[str], pret
     if times:
         parts += [_names(times).alias("time_columns"), _time_sample(df).alias("time_sample")]
     options = {**JSON_OPTIONS, "pretty": "true"} if pretty else JSON_OPTIONS
-    return df.sparkSession.range(1).select(F.to_json(F.struct(*parts), options).alias("document"))
+    facts = df.sparkSession.range(1).select(describe.overview(df).alias("overview"), _quartiles(df, numbers, []).alias("quartiles"))
+    return facts.select(F.to_json(F.struct(*parts), options).alias("document"))
 
 
 def _empty() -> Column:
     return F.create_map().cast("map<string,string>")
 
 
-def _basic_stats(df: DataFrame, numbers: list[str]) -> Column:
-    table = describe.describe_numeric(df, numbers)
-    return _as_map(table, "column", F.struct(*[raw(s).alias(n) for s, n in NUMERIC_NAMES.items()]))
+def _basic_stats(numbers: list[str]) -> Column:
+    def one(x: Column) -> Column:
+        q = F.try_element_at("quartiles", x["column"])
+        return F.struct(*[(q[s] if s.startswith("q") else x[s]).alias(n) for s, n in NUMERIC_NAMES.items()])
+
+    return _by_column(F.filter("overview.columns", lambda x: x["column"].isin(*numbers)), one)
 
 
 def _correlations(df: DataFrame, numbers: list[str]) -> Column:
@@ -168,11 +187,11 @@ def _correlations(df: DataFrame, numbers: list[str]) -> Column:
 
 
 def _categorical_stats(df: DataFrame, texts: list[str]) -> Column:
-    pairs = counts.pair_counts(df, texts)
+    keys = counts.key_counts(df, texts)
     ranked = F.collect_list(F.struct("rank", F.col("value").alias("k"), F.col("n").alias("v")))
     ordered = F.transform(F.array_sort(ranked), lambda e: F.struct(e["k"], e["v"]))
-    tops = counts.top_pairs(pairs, TOP_VALUES).groupBy("column").agg(F.map_from_entries(ordered).alias("top_values"))
-    unique = pairs.groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"))
+    tops = counts.top_of_keys(df, texts, keys, TOP_VALUES).groupBy("column").agg(F.map_from_entries(ordered).alias("top_values"))
+    unique = keys.groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"))
     none = F.create_map().cast("map<string,bigint>")
     table = counts.with_all_columns(df, texts, tops.join(unique, "column"), top_values=none, unique_count=F.lit(0).cast("bigint"))
     return _as_map(table, "column", F.struct("top_values", "unique_count"))
@@ -186,7 +205,7 @@ def _time_sample(df: DataFrame) -> Column:
 def availability_document(df: DataFrame) -> DataFrame:
     """One row, `document`: how many columns of each family there are, and whether there is data."""
     known = fam.availability(df, 0)
-    rows = _rows(df)
+    rows = describe.row_count(df).scalar()
     body = F.struct(
         rows.alias("rows"),
         *[F.lit(known[n]).alias(n) for n in ("columns", "numeric_columns_count", "categorical_columns_count")],
