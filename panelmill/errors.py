@@ -19,3 +19,7 @@ class OrderRequiredError(PanelmillError):
 
 class ConstraintError(PanelmillError):
     """Rows violate a catalog constraint."""
+
+
+class ConcurrentWriteError(PanelmillError):
+    """Another job committed first."""

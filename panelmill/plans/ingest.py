@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import colors
 from ..functions.families import FILE_COLUMN, ROW_COLUMN
-from ..sources import catalog, uploads, workbooks
+from ..sources import uploads, workbooks
+from ..sources.store import CatalogStore
 from . import texts
 from .spec import BASIC_LIMIT, DEFAULTS
 
@@ -34,25 +35,26 @@ def ingest_folder(spark: SparkSession, folder: str, target: str, user_id: int, c
     """Run the whole path for a folder and append one dashboard per readable workbook that has none yet.
 
     `target` is a shared folder. Every run writes its files and rows to folders of its own and reads only
-    these, so its cost follows what is new. A file is known by path, size and time of change: run again over
+    these, so its cost follows what is new. Contents are read once. A file is known by path, size and time of change: run again over
     the same folder and nothing is appended twice. `outcomes` has a row per file: `outcome` is refused (with
     `reason`), unreadable, empty, known or new, the last two with the `dashboard_id`.
     """
     run = uuid.uuid4().hex
     places = Ingested(run, *[f"{target}/{kind}/run_id={run}" for kind in ("files", "rows", "outcomes")], f"{target}/catalog")
-    uploads.write_landing(uploads.check_folder(spark, folder, max_size), places.files)
+    workbooks.scan_folder(spark, folder, max_size).write.parquet(places.rows)
+    scanned = spark.read.parquet(places.rows)
+    found = scanned.where(F.col(ROW_COLUMN) == workbooks.FILE_ROW).withColumnRenamed(FILE_COLUMN, "path")
+    uploads.write_landing(found.select("path", "modificationTime", "length", "reason", "accepted"), places.files)
     files = spark.read.parquet(places.files)
-    opened = workbooks.folder_files(spark, folder, max_size)
-    workbooks.workbook_rows(opened).write.parquet(places.rows)
-    rows = spark.read.schema(workbooks.ROWS).parquet(places.rows)
-    stored = catalog.read(spark, places.catalog) if catalog.exists(spark, places.catalog) else None
-    found = file_outcomes(files, rows, stored)
+    rows = scanned.where(F.col(ROW_COLUMN) > workbooks.FILE_ROW).select(FILE_COLUMN, ROW_COLUMN, "cells")
+    boards_of = CatalogStore(spark, places.catalog)
+    found = file_outcomes(files, rows, boards_of.versions())
     found.write.parquet(places.outcomes)
     fresh = spark.read.parquet(places.outcomes).where("outcome = 'new'").select(
         F.col("path").alias(FILE_COLUMN), "dashboard_id", F.concat(F.lit("/uploads/"), F.col("stored_name")).alias("file_url"))
     boards = file_dashboards(rows, category, description)
     ready = boards.join(fresh, FILE_COLUMN).withColumn("user_id", F.lit(user_id))
-    catalog.append(catalog.new_versions(ready), places.catalog)
+    boards_of.create(run, ready)
     return places
 
 

@@ -15,15 +15,26 @@ from ..operators import correlation, counts, describe, samples
 NUMERIC_NAMES = {"count": "count", "mean": "mean", "std": "std", "min": "min", "q25": "25%", "q50": "50%", "q75": "75%", "max": "max"}
 TEXT_NAMES = {"count": "count", "unique": "unique", "top": "top", "freq": "freq"}
 TOP_VALUES = 5
+NO_ROWS = "the table has no rows"
 
 
 def require_rows(df: DataFrame) -> DataFrame:
     """The table itself; an empty one is an error. Reads until the first row."""
     if df.isEmpty():
-        raise EmptyInputError("the table has no rows")
+        raise EmptyInputError(NO_ROWS)
     return df
 
 
+def row_states(df: DataFrame, group: str, groups: DataFrame) -> DataFrame:
+    """`group`, `state` for every group of a table of groups: `rows`, or what the empty-input error of its part says.
+
+    The check for many tables at once, as rows instead of an error.
+    """
+    filled = df.select(raw(group)).distinct().withColumn("_filled", F.lit(True))
+    state = F.when(F.col("_filled"), F.lit("rows")).otherwise(F.lit(NO_ROWS))
+    return groups.join(filled, group, "left").select(raw(group), state.alias("state"))
+
+
 def column_profile(df: DataFrame) -> DataFrame:
     """One row per column: `position, column, data_type, family, missing`, then whatever statistics fit
     its family (`count, unique, top, freq, mean, std, min, q25, q50, q75, max`, the last seven as text)."""

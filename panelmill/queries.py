@@ -6,6 +6,7 @@ in different orders; row numbers and counts are bigint.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from itertools import combinations
 
@@ -15,7 +16,9 @@ from .functions import colors, families as fam, values as val
 from .functions.percent import percent_label
 from .operators import correlation, counts, describe, grouping, ordering, quantiles, samples
 from .plans import charts, dashboards, ingest, profile, replies
+from .session import ensure_checkpoint_dir
 from .sources import catalog, documents as docs, uploads, workbooks
+from .sources.store import CatalogStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -323,10 +326,10 @@ def describe_numeric(spark, folder):
     return rounded(describe.describe_numeric(table(spark, folder, "lineitem")), std=4)
 
 
-@query(_describe_sql(NULLED, ["o_totalprice"]))
+@query(_describe_sql(NULLED, ["o_orderkey", "o_custkey", "o_totalprice"]))
 def describe_with_nulls(spark, folder):
-    """The same over a column with nulls."""
-    return rounded(describe.describe_numeric(orders_with_nulls(spark, folder), ["o_totalprice"]), std=4)
+    """The same over a table with nulls."""
+    return rounded(describe.describe_numeric(orders_with_nulls(spark, folder)), std=4)
 
 
 def _describe_text_sql(source: str, columns: list[str]) -> str:
@@ -363,12 +366,14 @@ def correlations(spark, folder):
     return rounded(correlation.correlation_pairs(table(spark, folder, "lineitem"), LINE_NUMBERS))
 
 
-@query(f"""select 'o_totalprice' as "column", 'o_custkey' as other, round(corr(o_totalprice, o_custkey), 6) as r from {NULLED}
-    union all select 'o_custkey', 'o_totalprice', round(corr(o_totalprice, o_custkey), 6) from {NULLED}
-    union all select 'o_totalprice', 'o_totalprice', 1.0e0 union all select 'o_custkey', 'o_custkey', 1.0e0""")
+ORDER_NUMBERS = ["o_orderkey", "o_custkey", "o_totalprice"]
+
+
+@query(" union all ".join(f"""select '{a}' as "column", '{b}' as other, round({'1.0e0' if a == b else f'corr({a}, {b})'}, 6) as r from {'(select 1)' if a == b else NULLED}"""
+                          for a in ORDER_NUMBERS for b in ORDER_NUMBERS))
 def correlation_matrix(spark, folder):
     """The symmetric matrix with its diagonal, over rows where both columns are present."""
-    return rounded(correlation.correlation_matrix(orders_with_nulls(spark, folder), ["o_totalprice", "o_custkey"]))
+    return rounded(correlation.correlation_matrix(orders_with_nulls(spark, folder)))
 
 
 def _top_sql(source: str, columns: list[str], k: int) -> str:
@@ -383,10 +388,10 @@ def top_values(spark, folder):
     return counts.top_values(table(spark, folder, "lineitem"), ["l_returnflag", "l_linestatus"])
 
 
-@query(_top_sql("documents", ["text", "source"], 5))
+@query(_top_sql("documents", ["text", "lang", "source"], 5))
 def top_values_of_texts(spark, folder):
     """The same over whole texts with copies."""
-    return counts.top_values(table(spark, folder, "documents"), ["text", "source"])
+    return counts.top_values(table(spark, folder, "documents"), ["text", "lang", "source"])
 
 
 EVENT_COLUMNS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
@@ -411,11 +416,10 @@ def time_sample(spark, folder):
     return samples.time_sample(table(spark, folder, "events"))
 
 
-@query("""select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority, row_number() over (order by o_orderkey) as ordinal
-    from orders order by o_orderkey limit 10""")
+@query("""select *, row_number() over (order by o_orderkey) as ordinal from orders order by o_orderkey limit 10""")
 def row_sample(spark, folder):
     """The first ten rows in row order."""
-    return samples.row_sample(table(spark, folder, "orders"), "o_orderkey").drop("o_orderdate")
+    return samples.row_sample(table(spark, folder, "orders"), "o_orderkey")
 
 
 @query("""select * from (values ('o_orderkey', 'bigint', 'numeric', 0), ('o_custkey', 'bigint', 'numeric', 1),
@@ -936,23 +940,55 @@ def catalog_find(spark, folder):
     return catalog.find(versions, str(owner), owner).select("dashboard_id", "title", "version")
 
 
-@query("""select cast(s_suppkey as varchar) as dashboard_id, s_name as title, 'ready' as status, cast(1 as bigint) as version, false as deleted,
-    true as stamped from supplier where not exists (select 1 from events where user_id = s_suppkey)""")
+ASKED = """(select case when s_suppkey % 3 = 0 then 'new ' || (s_suppkey // 2) else cast(s_suppkey as varchar) end as dashboard_id,
+    s_suppkey as user_id, s_name as title, s_suppkey as seq from supplier)"""
+
+
+def asked_dashboards(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests for new dashboards by suppliers: some ids are those of users with events, some are new, some of these twice."""
+    own, key = F.col("s_suppkey"), F.concat(F.lit("new "), F.expr("s_suppkey div 2"))
+    return table(spark, folder, "supplier").select(
+        F.when(own % 3 == 0, key).otherwise(own.cast("string")).alias("dashboard_id"), own.alias("user_id"), F.col("s_name").alias("title"),
+        F.lit("[]").alias("charts"), own.alias("seq"))
+
+
+@query(f"""select dashboard_id, arg_max(title, seq) as title, 'ready' as status, cast(1 as bigint) as version, false as deleted, true as stamped
+    from {ASKED} where not exists (select 1 from events where cast(user_id as varchar) = dashboard_id) group by 1""")
 def catalog_create(spark, folder):
-    """First versions of dashboards whose id is free; the catalog holds the users of the events."""
-    asked = table(spark, folder, "supplier").select(
-        F.col("s_suppkey").cast("string").alias("dashboard_id"), F.col("s_suppkey").alias("user_id"), F.col("s_name").alias("title"), F.lit("[]").alias("charts"))
-    made = catalog.created_versions(event_versions(spark, folder), asked)
+    """First versions of dashboards whose id is free, the last request of an id; the catalog holds the users of the events."""
+    made = catalog.created_versions(event_versions(spark, folder), asked_dashboards(spark, folder), "seq")
     return made.select("dashboard_id", "title", "status", "version", "deleted", F.col("created_at").isNotNull().alias("stamped"))
 
 
-@query("""select cast(c_nationkey as varchar) as dashboard_id,
-    case when exists (select 1 from events where user_id = c_nationkey) then 'taken' else 'repeated' end as reason
-    from customer group by c_nationkey having exists (select 1 from events where user_id = c_nationkey) or count(*) > 1""")
+@query(f"""select dashboard_id, case when exists (select 1 from events where cast(user_id as varchar) = dashboard_id) then 'taken' else 'repeated' end as reason
+    from (select dashboard_id, count(*) as n from ({ASKED} union all select dashboard_id, user_id, title, seq from {ASKED} where user_id % 5 = 0) group by 1)
+    where n > 1 or exists (select 1 from events where cast(user_id as varchar) = dashboard_id)""")
 def catalog_create_conflicts(spark, folder):
     """Ids that are taken, or repeated in the batch."""
-    asked = table(spark, folder, "customer").select(F.col("c_nationkey").cast("string").alias("dashboard_id"))
-    return catalog.create_conflicts(event_versions(spark, folder), asked)
+    asked = asked_dashboards(spark, folder)
+    return catalog.create_conflicts(event_versions(spark, folder), asked.unionByName(asked.where("user_id % 5 = 0")))
+
+
+@query("""select cast(c_custkey as varchar) as dashboard_id, case when c_custkey % 4 = 0 then 'renamed' else c_name end as title,
+    case when c_custkey % 4 = 0 then 2 else 1 end as version, c_custkey as user_id from customer where c_custkey % 7 <> 0
+    union all select 's' || s_suppkey, s_name, 1, s_suppkey from supplier""")
+def catalog_store(spark, folder):
+    """A store after batches of creates (one of them twice), updates and deletes (some by others), a snapshot and one more batch."""
+    place = f"{ensure_checkpoint_dir(spark).rstrip('/')}/panelmill-{uuid.uuid4().hex}/catalog"
+    store, key = CatalogStore(spark, place), F.col("c_custkey")
+    customers = table(spark, folder, "customer").select(
+        key.cast("string").alias("dashboard_id"), key.alias("user_id"), F.col("c_name").alias("title"), F.lit("[]").alias("charts"))
+    suppliers = table(spark, folder, "supplier").select(
+        F.concat(F.lit("s"), "s_suppkey").alias("dashboard_id"), F.col("s_suppkey").alias("user_id"), F.col("s_name").alias("title"), F.lit("[]").alias("charts"))
+    for name in ("load", "load"):
+        store.create(name, customers)
+    renamed = customers.withColumns({"title": F.lit("renamed"), "user_id": F.when(F.col("user_id") % 2 == 0, F.col("user_id")).otherwise(-1)})
+    store.update("rename", renamed.where("dashboard_id % 4 = 0 OR user_id < 0"))
+    store.delete("drop", customers.where("user_id % 7 = 0").select("dashboard_id", "user_id"))
+    store.compact()
+    store.create("load", customers)
+    store.create("more", suppliers.unionByName(customers))
+    return store.current().select("dashboard_id", "title", "version", "user_id")
 
 
 @query(f"""select cast(user_id as varchar) as dashboard_id, title, event_id + 1 as version from {LIVE} join (
@@ -996,12 +1032,12 @@ def no_data(spark, folder):
     return points(shown).withColumn("chart", F.lit("shown")).unionByName(points(missing).withColumn("chart", F.lit("missing")))
 
 
-@query("""select n_name, case when exists (select 1 from supplier where s_nationkey = n_nationkey and s_acctbal < 0) then 'rows' else 'empty' end as state from nation""")
+@query("""select s_suppkey % 40 as part, case when bool_or(s_acctbal > 9900) then 'rows' else 'the table has no rows' end as state
+    from supplier group by 1""")
 def empty_input(spark, folder):
-    """Whether each nation's table of suppliers in debt has rows, as status instead of an error."""
-    debtors = table(spark, folder, "supplier").where("s_acctbal < 0").select(F.col("s_nationkey").alias("n_nationkey")).distinct()
-    found = table(spark, folder, "nation").join(debtors.withColumn("found", F.lit(True)), "n_nationkey", "left")
-    return found.select("n_name", F.when(F.col("found"), "rows").otherwise("empty").alias("state"))
+    """The rich suppliers of every part of the table: those without any are reported as the empty-input error says."""
+    rich = table(spark, folder, "supplier").withColumn("part", F.col("s_suppkey") % 40)
+    return profile.row_states(rich.where("s_acctbal > 9900"), "part", rich.select("part").distinct())
 
 
 @query("""select event_id, cast(1 as bigint) as chart_no,

@@ -28,7 +28,11 @@ PAGE_SIZE = 100
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """All versions."""
+    """All versions of a plain table, or what a reader needs of a `store.CatalogStore` in that folder."""
+    if exists(spark, f"{path}/commits"):
+        from .store import CatalogStore
+
+        return CatalogStore(spark, path).versions()
     return spark.read.schema(SCHEMA).parquet(path)
 
 

@@ -25,12 +25,13 @@ def file_kind(name: Column) -> Column:
 
 
 def rejection(name: Column, size: Column, mime: Column | None = None, magic: Column | None = None,
-              max_size: int = MAX_FILE_SIZE) -> Column:
-    """Why a file is refused, or null if it is accepted. The first rule that fails gives the reason."""
+              max_size: int | None = MAX_FILE_SIZE) -> Column:
+    """Why a file is refused, or null if it is accepted. The first rule that fails gives the reason; without `max_size` any size is right."""
     reason = F.when(file_kind(name).isNull(), F.lit("extension"))
     if mime is not None:
         reason = reason.when(mime.isNull() | ~mime.isin(*MIME_TYPES), F.lit("content_type"))
-    reason = reason.when(size > max_size, F.lit("too_large"))
+    if max_size is not None:
+        reason = reason.when(size > max_size, F.lit("too_large"))
     if magic is not None:
         reason = reason.when((file_kind(name) == ".xls") & (magic == COMPOUND_MAGIC), F.lit("legacy_format"))
         reason = reason.when(magic.isNull() | (magic != ZIP_MAGIC), F.lit("content"))
@@ -63,10 +64,11 @@ def check_folder(spark: SparkSession, folder: str, max_size: int = MAX_FILE_SIZE
     return refused.unionByName(opened).withColumn("accepted", F.col("reason").isNull())
 
 
-def accepted_contents(spark: SparkSession, folder: str, max_size: int = MAX_FILE_SIZE) -> DataFrame:
-    """`path, modificationTime, length, content` of files with an accepted name and size."""
+def accepted_contents(spark: SparkSession, folder: str, max_size: int | None = MAX_FILE_SIZE) -> DataFrame:
+    """`path, modificationTime, length, content` of files with an accepted name and, if it is limited, size."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.where((F.col("length") <= max_size) & file_kind(F.col("path")).isNotNull())
+    named = files.where(file_kind(F.col("path")).isNotNull())
+    return named if max_size is None else named.where(F.col("length") <= max_size)
 
 
 def file_identity(files: DataFrame) -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..errors import EmptyInputError
 from ..functions.families import FILE_COLUMN, ROW_COLUMN
-from .uploads import MAX_FILE_SIZE, ZIP_MAGIC, accepted_contents
+from .uploads import ZIP_MAGIC, accepted_contents, list_files, rejection
 
 # Fixed values of the file format: built-in date styles, and texts that spreadsheets use for "missing".
 DATE_STYLES = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
@@ -30,6 +30,9 @@ MISSING_TEXTS = {
 CELL = pa.struct([("position", pa.int32()), ("column", pa.string()), ("kind", pa.string()), ("text", pa.string())])
 ROW_FIELDS = pa.schema([(FILE_COLUMN, pa.string()), (ROW_COLUMN, pa.int64()), ("cells", pa.list_(CELL))])
 ROWS = f"{FILE_COLUMN} string, {ROW_COLUMN} bigint, cells array<struct<position: int, column: string, kind: string, text: string>>"
+# What a scan of a folder adds to the row that stands for a file.
+SCAN = f"{ROWS}, length bigint, modificationTime timestamp, magic string"
+FILE_ROW = -2
 HEADER, ERROR = "header", "error"
 BATCH_ROWS = 4_096
 
@@ -44,6 +47,40 @@ def workbook_rows(files: DataFrame) -> DataFrame:
     return files.select(FILE_COLUMN, "content").mapInArrow(_read_batches, ROWS)
 
 
+def scan_folder(spark: SparkSession, folder: str, max_size: int | None = None) -> DataFrame:
+    """A folder in one read: `_file, _row, cells, length, modificationTime, reason, accepted`.
+
+    Every file has a row FILE_ROW with its size, time and the reason it was refused for, if it was; the others are those of
+    `workbook_rows`. Files refused by name or size are listed and never opened; the others are opened once, for the first bytes
+    and the rows alike.
+    """
+    listed = list_files(spark, folder).withColumnRenamed("path", FILE_COLUMN)
+    by_name = rejection(F.col(FILE_COLUMN), F.col("length"), max_size=max_size)
+    shut = listed.select(FILE_COLUMN, F.lit(FILE_ROW).cast("bigint").alias(ROW_COLUMN), F.lit(None).cast("array<struct<position: int, column: string, kind: string, text: string>>").alias("cells"),
+                         "length", "modificationTime", by_name.alias("reason")).where(F.col("reason").isNotNull())
+    opened = accepted_contents(spark, folder, max_size).select("path", "length", "modificationTime", "content").mapInArrow(_scan_batches, SCAN)
+    by_content = rejection(F.col(FILE_COLUMN), F.col("length"), magic=F.col("magic"), max_size=max_size)
+    read = opened.withColumn("reason", F.when(F.col(ROW_COLUMN) == FILE_ROW, by_content)).drop("magic")
+    return shut.unionByName(read).withColumn("accepted", F.when(F.col(ROW_COLUMN) == FILE_ROW, F.col("reason").isNull()))
+
+
+def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            one = batch.slice(i, 1)
+            content = one.column("content")[0].as_py()
+            file = pa.RecordBatch.from_arrays([one.column("path"), pa.array([FILE_ROW], pa.int64()), pa.nulls(1, pa.list_(CELL)), one.column("length"),
+                                               one.column("modificationTime"), pa.array([content[:4].hex().upper()])], names=_SCAN_NAMES)
+            yield file
+            if file.column("magic")[0].as_py() == ZIP_MAGIC:
+                for rows in _read_batches([one.select(["path", "content"])]):
+                    empty = [pa.nulls(rows.num_rows, file.schema.field(n).type) for n in _SCAN_NAMES[3:]]
+                    yield pa.RecordBatch.from_arrays([*rows.columns, *empty], names=_SCAN_NAMES)
+
+
+_SCAN_NAMES = [FILE_COLUMN, ROW_COLUMN, "cells", "length", "modificationTime", "magic"]
+
+
 def workbook_cells(rows: DataFrame) -> DataFrame:
     """`_file, _row, position, column, kind, text`: one row per cell."""
     return rows.select(FILE_COLUMN, ROW_COLUMN, F.inline("cells"))
@@ -213,7 +250,7 @@ def _header(values: list[tuple]) -> dict[int, str]:
     return names
 
 
-def folder_files(spark: SparkSession, folder: str, max_size: int = MAX_FILE_SIZE) -> DataFrame:
+def folder_files(spark: SparkSession, folder: str, max_size: int | None = None) -> DataFrame:
     """`_file`, `content` of the workbooks in a folder that pass the checks."""
     opened = accepted_contents(spark, folder, max_size).where(F.hex(F.substring("content", 1, 4)) == ZIP_MAGIC)
     return opened.select(F.col("path").alias(FILE_COLUMN), "content")
@@ -251,7 +288,7 @@ def infer_schema(rows: DataFrame) -> T.StructType:
 
 
 def read_workbooks(spark: SparkSession, folder: str, schema: T.StructType | str | None = None,
-                   max_size: int = MAX_FILE_SIZE) -> DataFrame:
+                   max_size: int | None = None) -> DataFrame:
     """The first sheets of all accepted workbooks as one table, with `_file` and `_row` added.
 
     Give a schema to read the files once; without one they are read twice, first for the types. Write the

@@ -140,3 +140,21 @@ def test_documents(spark, gaps, tmp_path):
     assert json.loads(line) == {"n": None, "a": [None, 1.0], "m": {"1": "2020-01-01"}, "s": {"t": "2020-01-01T10:00:00.500000"},
                                 "d": "1.50", "b": "x", "z": None}
     assert ": " not in line
+
+
+def test_one_scan_reads_a_folder(spark, folder):
+    """Every file has its row, refused ones with the reason; contents are opened in one scan."""
+    scan = workbooks.scan_folder(spark, folder, max_size=8000)
+    files = {r["_file"].rsplit("/", 1)[-1]: (r["accepted"], r["reason"]) for r in scan.where(F.col("_row") == workbooks.FILE_ROW).collect()}
+    checked = uploads.check_folder(spark, folder, 8000).collect()
+    assert files == {r["path"].rsplit("/", 1)[-1]: (r["accepted"], r["reason"]) for r in checked} and len(files) == 8
+    rows = workbooks.workbook_rows(workbooks.folder_files(spark, folder, 8000))
+    assert sorted(map(tuple, scan.where(F.col("_row") > workbooks.FILE_ROW).select(*rows.columns).collect()), key=repr) == sorted(map(tuple, rows.collect()), key=repr)
+    assert scan._jdf.queryExecution().executedPlan().toString().count("content#") > 0
+    assert scan._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2  # the listing has no contents
+
+
+def test_readers_take_files_of_any_size(spark, tmp_path):
+    write_book(tmp_path / "big.xlsx", {1: ["Name"], **{i: [f"row {i} " + "x" * 90] for i in range(2, 60)}})
+    assert workbooks.read_workbooks(spark, str(tmp_path)).count() == 58
+    assert workbooks.read_workbooks(spark, str(tmp_path), "Name string", max_size=10).count() == 0
