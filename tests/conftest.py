@@ -26,12 +26,11 @@ def data():
 
 
 @pytest.fixture(scope="session")
-def travel(spark):
-    rows = [
-        ("Jonas Pohl", "Harbour", "2023-04-02", "Lagos", 340), ("Ines Vidal", "Garden", "2023-06-11", "Bergen", 480),
-        ("Ben Osei", "Archive", "2023-08-23", "Turin", 610), ("Ada Quist", "Harbour", "2023-04-09", "Quito", 425),
-    ]
-    return spark.createDataFrame(rows, "`Employee Name` string, Department string, `Travel Date` string, Destination string, Cost long")
+def loans(spark):
+    """What a tool library lent: six loans of three tools, dates as text."""
+    rows = [("Saw", "2021-05-03", 7, "North"), ("Drill", "2021-05-03", 2, "South"), ("Saw", "2021-06-20", 12, "South"),
+            ("Ladder", "2021-04-18", 5, "South"), ("Drill", "2021-05-09", 30, "North"), ("Saw", "2021-06-20", 1, "North")]
+    return spark.createDataFrame(rows, "tool string, lent string, days long, branch string")
 
 
 @pytest.fixture(scope="session")

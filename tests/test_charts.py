@@ -18,50 +18,50 @@ def payloads(df, spec):
     return [json.loads(r["payload"]) for r in charts.chart_payload(df, spec).orderBy("part").collect()]
 
 
-def test_counts_with_ties_in_key_order(travel):
-    assert shown(travel, {"source_columns": ["Department"]}) == [("Harbour", 2), ("Archive", 1), ("Garden", 1)]
+def test_counts_with_ties_in_key_order(loans):
+    assert shown(loans, {"source_columns": ["branch"]}) == [("North", 3), ("South", 3)]
 
 
-def test_ascending_turns_what_the_limit_kept(travel):
-    assert shown(travel, {"source_columns": ["Department"], "limit": 2, "sort": "asc"}) == [("Archive", 1), ("Harbour", 2)]
+def test_ascending_turns_what_the_limit_kept(loans):
+    assert shown(loans, {"source_columns": ["tool"], "limit": 2, "sort": "asc"}) == [("Drill", 2), ("Saw", 3)]
 
 
-def test_group_sum_in_key_order(travel):
-    spec = {"data_config": {"source_columns": ["Department", "Cost"], "aggregation": "sum"}}
-    assert shown(travel, spec) == [("Archive", 610), ("Garden", 480), ("Harbour", 765)]
-    assert shown(travel, {**spec, "rank_by": "value"})[0] == ("Harbour", 765)
+def test_group_sum_in_key_order(loans):
+    spec = {"data_config": {"source_columns": ["tool", "days"], "aggregation": "sum"}}
+    assert shown(loans, spec) == [("Drill", 32), ("Ladder", 5), ("Saw", 20)]
+    assert shown(loans, {**spec, "rank_by": "value"})[0] == ("Drill", 32)
 
 
-def test_time_series_of_text_dates(travel):
-    spec = {"chart_type": "line", "source_columns": ["Travel Date", "Cost"]}
-    assert shown(travel, spec) == [("2023-04-02", 340), ("2023-04-09", 425), ("2023-06-11", 480), ("2023-08-23", 610)]
-    assert payloads(travel, spec)[0]["datasets"][0]["label"] == "Cost over time"
+def test_time_series_of_text_dates(loans):
+    spec = {"chart_type": "line", "source_columns": ["lent", "days"]}
+    assert shown(loans, spec) == [("2021-04-18", 5), ("2021-05-03", 9), ("2021-05-09", 30), ("2021-06-20", 13)]
+    assert payloads(loans, spec)[0]["datasets"][0]["label"] == "days over time"
 
 
-def test_line_without_dates_takes_row_order(travel):
-    spec = {"chart_type": "line", "source_columns": ["Destination", "Cost"], "order_by": "Cost", "limit": 2}
-    assert shown(travel, spec) == [("1", "Lagos"), ("2", "Quito")]
+def test_line_without_dates_takes_row_order(loans):
+    spec = {"chart_type": "line", "source_columns": ["branch", "days"], "order_by": "days", "limit": 2}
+    assert shown(loans, spec) == [("1", "North"), ("2", "South")]
     with pytest.raises(OrderRequiredError):
-        charts.chart_points(travel, {"chart_type": "line", "source_columns": ["Cost"]})
+        charts.chart_points(loans, {"chart_type": "line", "source_columns": ["days"]})
 
 
-def test_pie_payload(travel):
-    (body,) = payloads(travel, {"chart_type": "pie", "title": "Teams", "source_columns": ["Department"]})
+def test_pie_payload(loans):
+    (body,) = payloads(loans, {"chart_type": "pie", "title": "Tools", "source_columns": ["tool"]})
     (series,) = body["datasets"]
-    assert body["labels"] == ["Harbour (50.0%)", "Archive (25.0%)", "Garden (25.0%)"]
+    assert body["labels"] == ["Saw (50.0%)", "Drill (33.3%)", "Ladder (16.7%)"]
     assert series == {
-        "label": "Teams", "data": [2, 1, 1], "percentages": [50.0, 25.0, 25.0], "borderWidth": 2,
+        "label": "Tools", "data": [3, 2, 1], "percentages": pytest.approx([50.0, 100 / 3, 50 / 3]), "borderWidth": 2,
         "backgroundColor": colors.palette("primary")[:3],
         "borderColor": [c.replace("0.8", "1") for c in colors.palette("primary")[:3]],
     }
 
 
-def test_bar_shares_only_when_asked(travel):
-    spec = {"source_columns": ["Department"], "show_percentages": True}
-    assert shown(travel, spec, "caption", "percentage")[0] == ("Harbour", 50.0)
-    assert payloads(travel, spec)[0]["datasets"][0]["percentages"] == [50.0, 25.0, 25.0]
-    assert "percentages" not in payloads(travel, {"source_columns": ["Department"]})[0]["datasets"][0]
-    assert shown(travel, {"source_columns": ["Department"]}, "percentage")[0] == (None,)
+def test_bar_shares_only_when_asked(loans):
+    spec = {"source_columns": ["tool"], "show_percentages": True}
+    assert shown(loans, spec, "caption", "percentage")[0] == ("Saw", 50.0)
+    assert payloads(loans, spec)[0]["datasets"][0]["percentages"] == pytest.approx([50.0, 100 / 3, 50 / 3])
+    assert "percentages" not in payloads(loans, {"source_columns": ["tool"]})[0]["datasets"][0]
+    assert shown(loans, {"source_columns": ["tool"]}, "percentage")[0] == (None,)
 
 
 @pytest.mark.parametrize("name, expected", [
@@ -96,18 +96,18 @@ def test_skew_is_corrected(spark):
     assert shown(df, {"source_columns": ["k", "v"], "aggregation": "skew"})[0][1] == pytest.approx(1.630059, abs=1e-6)
 
 
-def test_unknown_names_are_errors(travel):
+def test_unknown_names_are_errors(loans):
     with pytest.raises(SpecError):
-        charts.chart_points(travel, {"source_columns": ["Department", "Cost"], "aggregation": "modus"})
+        charts.chart_points(loans, {"source_columns": ["tool", "days"], "aggregation": "modus"})
     with pytest.raises(SpecError):
-        charts.chart_points(travel, {"source_columns": ["Department", "Destination"], "aggregation": "sum"})
+        charts.chart_points(loans, {"source_columns": ["tool", "branch"], "aggregation": "sum"})
     with pytest.raises(SpecError):
         ChartSpec(limit=-1)
 
 
-def test_fallbacks(spark, travel):
-    assert resolve(travel, ChartSpec(source_columns=("department",))).source_columns == ("Employee Name",)
-    assert resolve(travel, ChartSpec(chart_type="radar")).source_columns == ("Cost",)
+def test_fallbacks(spark, loans):
+    assert resolve(loans, ChartSpec(source_columns=("Tool",))).source_columns == ("tool",)
+    assert resolve(loans, ChartSpec(chart_type="radar")).source_columns == ("days",)
     dates = spark.sql("select date'2020-01-01' as d")
     assert resolve(dates, ChartSpec()) is None
     (body,) = payloads(dates, {"chart_type": "bar"})
@@ -115,15 +115,15 @@ def test_fallbacks(spark, travel):
     assert body["datasets"][0]["backgroundColor"] == ["rgba(156, 163, 175, 0.8)"]
 
 
-def test_other_types_count(travel):
-    assert shown(travel, {"chart_type": "heatmap", "source_columns": ["Department", "Cost"], "aggregation": "sum"})[0] == ("Harbour", 2)
+def test_other_types_count(loans):
+    assert shown(loans, {"chart_type": "heatmap", "source_columns": ["tool", "days"], "aggregation": "sum"})[0] == ("Saw", 3)
 
 
-def test_empty_table(travel):
-    none = travel.limit(0)
-    assert shown(none, {"source_columns": ["Department"]}) == []
-    assert payloads(none, {"source_columns": ["Department"]})[0]["datasets"][0]["data"] == []
-    assert payloads(none, {"chart_type": "line", "source_columns": ["Travel Date", "Cost"], "order_by": "Cost"})[0]["labels"] == []
+def test_empty_table(loans):
+    none = loans.limit(0)
+    assert shown(none, {"source_columns": ["tool"]}) == []
+    assert payloads(none, {"source_columns": ["tool"]})[0]["datasets"][0]["data"] == []
+    assert payloads(none, {"chart_type": "line", "source_columns": ["lent", "days"], "order_by": "days"})[0]["labels"] == []
 
 
 def test_unknown_palette_and_cycle(spark):
@@ -141,33 +141,33 @@ def test_unlimited_chart_is_cut_into_whole_parts(spark, monkeypatch):
     assert [x for b in bodies for x in b["labels"]] == [str(i) for i in range(2500)]
 
 
-def test_dashboard_from_document(travel):
-    (row,) = dashboards.dashboard(travel, "trips.xlsx", {
-        "charts": [{"chart_type": "pie", "metadata": {"importance": "high"}, "data_config": {"source_columns": ["Department"]}},
-                   {"chart_type": "line", "data_config": {"source_columns": ["Travel Date", "Cost"]}}],
-        "key_metrics": [{"metric": "Trips", "value": 4, "description": "all"}], "summary": "s"}, category="hr").collect()
+def test_dashboard_from_document(loans):
+    (row,) = dashboards.dashboard(loans, "loans.xlsx", {
+        "charts": [{"chart_type": "pie", "metadata": {"importance": "high"}, "data_config": {"source_columns": ["tool"]}},
+                   {"chart_type": "line", "data_config": {"source_columns": ["lent", "days"]}}],
+        "key_metrics": [{"metric": "Loans", "value": 6, "description": "all"}], "summary": "s"}, category="hr").collect()
     first, second = json.loads(row["charts"])
-    assert (row["title"], row["category"], row["summary"]) == ("Dashboard - trips.xlsx", "hr", "s")
+    assert (row["title"], row["category"], row["summary"]) == ("Dashboard - loans.xlsx", "hr", "s")
     assert (first["title"], first["x_axis"], first["metadata"]) == ("Chart", "X", {"importance": "high"})
-    assert second["data"]["datasets"][0]["data"] == [340, 425, 480, 610]
-    assert row["key_metrics"][0].asDict() == {"metric": "Trips", "value": "4", "description": "all"}
+    assert second["data"]["datasets"][0]["data"] == [5, 9, 30, 13]
+    assert row["key_metrics"][0].asDict() == {"metric": "Loans", "value": "6", "description": "all"}
 
 
-def test_basic_dashboard_when_there_is_no_chart(travel):
-    (row,) = dashboards.dashboard(travel, "trips.xlsx", {"charts": []}, category="sALES", description="More.").collect()
+def test_basic_dashboard_when_there_is_no_chart(loans):
+    (row,) = dashboards.dashboard(loans, "loans.xlsx", {"charts": []}, category="sALES", description="More.").collect()
     (chart,) = json.loads(row["charts"])
-    assert row["title"] == "Sales Dashboard - trips.xlsx"
-    assert row["summary"] == "Analysis of trips.xlsx containing 4 rows and 5 columns. More."
-    assert chart["title"] == "Distribution of Employee Name"
-    assert [m["value"] for m in row["key_metrics"]] == ["4", "5"]
+    assert row["title"] == "Sales Dashboard - loans.xlsx"
+    assert row["summary"] == "Analysis of loans.xlsx containing 6 rows and 4 columns. More."
+    assert chart["title"] == "Distribution of tool"
+    assert [m["value"] for m in row["key_metrics"]] == ["6", "4"]
 
 
-def test_dashboard_from_reply(travel):
-    reply = 'Here: {"dashboard_title": "Trips", "charts": [{"chart_type": "bar", "data_config": {"source_columns": ["Department"]}}, {"chart_type": "pie"}]}!'
-    (row,) = dashboards.dashboard_from_reply(travel, "trips.xlsx", reply, chart_types=["bar"]).collect()
-    assert row["title"] == "Trips" and [c["chart_type"] for c in json.loads(row["charts"])] == ["bar"]
-    (row,) = dashboards.dashboard_from_reply(travel, "trips.xlsx", "sorry, no").collect()
-    assert row["title"] == "Basic Dashboard - trips.xlsx"
+def test_dashboard_from_reply(loans):
+    reply = 'Here: {"dashboard_title": "Loans", "charts": [{"chart_type": "bar", "data_config": {"source_columns": ["tool"]}}, {"chart_type": "pie"}]}!'
+    (row,) = dashboards.dashboard_from_reply(loans, "loans.xlsx", reply, chart_types=["bar"]).collect()
+    assert row["title"] == "Loans" and [c["chart_type"] for c in json.loads(row["charts"])] == ["bar"]
+    (row,) = dashboards.dashboard_from_reply(loans, "loans.xlsx", "sorry, no").collect()
+    assert row["title"] == "Basic Dashboard - loans.xlsx"
 
 
 def test_options_filter_and_cut_specs():
@@ -176,16 +176,16 @@ def test_options_filter_and_cut_specs():
     assert len(dashboards.selected(specs)) == 3
 
 
-def test_bad_charts_become_placeholders(spark, travel):
-    asked = {"charts": [{"chart_type": "bar", "data_config": {"source_columns": ["Department", "Cost"], "aggregation": "no such"}},
-                        "text", {"chart_type": "pie", "title": "Kept", "data_config": {"source_columns": ["Department"], "limit": "ten"}}]}
-    shown = json.loads(dashboards.dashboard(travel, "t", asked).first()["charts"])
+def test_bad_charts_become_placeholders(spark, loans):
+    asked = {"charts": [{"chart_type": "bar", "data_config": {"source_columns": ["tool", "days"], "aggregation": "no such"}},
+                        "text", {"chart_type": "pie", "title": "Kept", "data_config": {"source_columns": ["tool"], "limit": "ten"}}]}
+    shown = json.loads(dashboards.dashboard(loans, "t", asked).first()["charts"])
     assert [c["status"] for c in shown] == ["error", "error", "ok"] and "no such" in shown[0]["reason"]
     assert shown[0]["data"]["labels"] == ["No Data"] and len(shown[2]["data"]["labels"]) > 1
     with pytest.raises(SpecError):
-        dashboards.dashboard(travel, "t", asked, on_error="raise")
+        dashboards.dashboard(loans, "t", asked, on_error="raise")
     for charts_given in ("none", None, {}, []):
-        assert "Dashboard" in dashboards.dashboard(travel, "t", {"charts": charts_given}).first()["title"]
+        assert "Dashboard" in dashboards.dashboard(loans, "t", {"charts": charts_given}).first()["title"]
 
 
 def test_one_document_per_chart_at_any_limit(spark):

@@ -151,9 +151,9 @@ def test_distinct_counts_of_empty_column(spark):
     assert counts.distinct_counts(df, ["t"], approximate=True).collect()[0]["unique_count"] == 1
 
 
-def test_sample_needs_an_order(travel):
+def test_sample_needs_an_order(loans):
     with pytest.raises(OrderRequiredError):
-        samples.row_sample(travel, [])
+        samples.row_sample(loans, [])
 
 
 def test_earliest_moments_are_distinct(spark):
@@ -188,12 +188,12 @@ def test_deep_page_is_the_same(spark, monkeypatch):
     assert sorted(r["x"] for r in ordering.page(df, ["x"], 50, 500).collect()) == list(range(500, 550))
 
 
-def test_analysis_document(travel):
-    document = json.loads(profile.analysis_document(travel).first()["document"])
-    assert document["columns"] == travel.columns and document["rows"] == 4
-    assert document["summary"]["Department"]["top"] == "Harbour" and document["summary"]["Department"]["mean"] == ""
-    assert document["summary"]["Cost"]["50%"] == "452.5"
-    assert document["data_types"]["Cost"] == "bigint" and document["missing_values"]["Cost"] == 0
+def test_analysis_document(loans):
+    document = json.loads(profile.analysis_document(loans).first()["document"])
+    assert document["columns"] == loans.columns and document["rows"] == 6
+    assert document["summary"]["tool"]["top"] == "Saw" and document["summary"]["tool"]["mean"] == ""
+    assert document["summary"]["days"]["50%"] == "6.0"
+    assert document["data_types"]["days"] == "bigint" and document["missing_values"]["days"] == 0
 
 
 def test_summary_document(spark):
@@ -211,7 +211,55 @@ def test_summary_document(spark):
     assert document["basic_stats"]["id"]["75%"] == 14.25
 
 
-def test_empty_input(travel):
+def test_empty_input(loans):
     with pytest.raises(EmptyInputError):
-        profile.require_rows(travel.limit(0))
-    assert profile.require_rows(travel) is travel
+        profile.require_rows(loans.limit(0))
+    assert profile.require_rows(loans) is loans
+
+
+def test_top_texts_in_two_phases(spark, monkeypatch):
+    """Long texts that share their beginning and their count, few and many of them, beside short ones, as by counting whole texts."""
+    start = "x" * 40
+    rows = [(start + f"{i:04d}", "s" if i % 2 else None, "é" * 20) for i in range(60)] + [(start + "0007", "t", "é" * 16)] * 2 + [("short", "t", None)] * 2
+    df = spark.createDataFrame(rows, "a string, b string, c string")
+    for looked_up in (1000, 5):
+        monkeypatch.setattr(counts, "LOOKED_UP", looked_up)
+        found = [tuple(r) for r in counts.top_values(df, ["a", "b", "c"], 4).orderBy("column", "rank").collect()]
+        assert found == [("a", 1, start + "0007", 3), ("a", 2, "short", 2), ("a", 3, start + "0000", 1), ("a", 4, start + "0001", 1),
+                         ("b", 1, "s", 30), ("b", 2, "t", 4), ("c", 1, "é" * 20, 60), ("c", 2, "é" * 16, 2)]
+
+
+def test_no_text_in_the_counting_exchange(spark, data):
+    plan = counts.key_counts(spark.read.parquet(f"{data}/documents.parquet"), ["text", "lang"])._jdf.queryExecution().executedPlan().toString()
+    exchange = plan[plan.index("Exchange"):]
+    assert "hashpartitioning(column" in exchange and "key#" in exchange.split("ENSURE")[0] and "value#" not in exchange.split("ENSURE")[0]
+
+
+def test_correlations_over_patterns_of_gaps(spark):
+    """Pairs whose shared rows are few, constant, one or none, far from zero, in several blocks."""
+    rng = np.random.default_rng(7)
+    frame = pd.DataFrame(rng.normal(size=(400, 18)) + 1e8, columns=[f"c{i}" for i in range(18)])
+    for i in range(18):
+        frame.loc[rng.random(400) < i / 20, f"c{i}"] = np.nan
+    frame.loc[frame["c17"].notna(), "c0"] = 3.0
+    frame["c5"] = frame["c4"] * -2
+    frame["c9"] = np.nan
+    found = {(r["column"], r["other"]): r["r"] for r in correlation.correlation_matrix(spark.createDataFrame(frame)).collect()}
+    exact = (frame - 1e8).corr()
+    assert len(found) == 18 * 18 and found["c0", "c17"] is None and found["c9", "c9"] is None
+    for (a, b), r in found.items():
+        if a == "c0" or b == "c0":
+            continue  # its own values are of two sizes
+        assert (r is None) == bool(np.isnan(exact.loc[a, b])) and (r is None or r == pytest.approx(exact.loc[a, b], abs=1e-6))
+    pairs = {(r["a"], r["b"]): r["r"] for r in correlation.correlation_pairs(spark.createDataFrame(frame)).collect()}
+    assert all(found[k] == r for k, r in pairs.items()) and len(pairs) == 18 * 17 // 2
+
+
+def test_profile_scans(spark, data):
+    """Besides the passes of the quartiles one scan for numbers and missing values, and the texts' scans."""
+    df = spark.read.parquet(f"{data}/orders.parquet")
+    first = describe.overview(df)
+    both = spark.range(1).select(first["rows"].alias("n"), F.size(first["columns"]).alias("m"))
+    row = both.first()
+    assert (row["n"], row["m"]) == (df.count(), len(df.columns))
+    assert "ReusedSubquery" in both._jdf.queryExecution().executedPlan().toString() or both._jdf.queryExecution().executedPlan().toString().count("FileScan") <= 2
