@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import settle, text_of
 
 RATIO = 0.1
-MIN_PAGES = 20
+LEAST_PAGES = 3
 PASSAGE_WORDS = 50
 
 
@@ -41,11 +41,11 @@ def _known(line: Column) -> Column:
     return F.xxhash64(_line(line))
 
 
-def boilerplate(pages: DataFrame, host: Column, text: Column, lines: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """`host, line, pages, host_pages`: the hashes of lines on more than `ratio` of the different pages of a host.
+def boilerplate(pages: DataFrame, host: Column, text: Column, lines: Column, ratio: float = RATIO, least: int = LEAST_PAGES) -> DataFrame:
+    """`host, line, pages, host_pages`: the hashes of lines on more than `ratio` of the different pages of a host, and on at
+    least `least` of them; the size of a host does not matter otherwise.
 
-    Lines without any character but white space, and hosts of fewer than `min_pages` different pages, are left out: a few
-    pages say nothing about their site. Pages whose host or text is null have no site.
+    Lines without any character but white space are left out. Pages whose host or text is null have no site.
     """
     rows = pages.select(host.alias("host"), text.alias("text"), lines.alias("lines")).where("host IS NOT NULL AND text IS NOT NULL")
     rows = rows.select("host", F.xxhash64("text").alias("page"), "lines")
@@ -53,7 +53,7 @@ def boilerplate(pages: DataFrame, host: Column, text: Column, lines: Column, rat
     once = rows.select("host", "page", F.explode(own).alias("line")).distinct()
     counts = once.groupBy("host", "line").agg(F.count(F.lit(1)).alias("pages"))
     totals = rows.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
-    return (counts.where("pages > 1").join(totals.where(F.col("host_pages") >= min_pages), "host")
+    return (counts.where(F.col("pages") >= least).join(totals, "host")
             .where(F.col("pages") > F.col("host_pages") * F.lit(ratio)))
 
 
@@ -78,7 +78,7 @@ def passages(pages: DataFrame, host: Column, text: Column, lines: Column, order:
 
 
 def drop_boilerplate(pages: DataFrame, host: Column, text_column: str = "text", split: str = "\n", ratio: float = RATIO,
-                     min_pages: int = MIN_PAGES, dropped: str | None = None, passage_words: int | None = None,
+                     least: int = LEAST_PAGES, dropped: str | None = None, passage_words: int | None = None,
                      order: Column | None = None) -> DataFrame:
     """`pages` with its text column without boilerplate lines, all other columns as they were.
 
@@ -93,7 +93,7 @@ def drop_boilerplate(pages: DataFrame, host: Column, text_column: str = "text",
     shown = pages.select(*[F.col(f"`{n}`").alias(f"_c{i}") for i, n in enumerate(names)], host.alias("_host"),
                          (F.lit(None).cast("long") if order is None else order).alias("_order"))
     lines = F.split(f"_c{at}", f"\\Q{split}\\E", -1)
-    found = boilerplate(shown, F.col("_host"), F.col(f"_c{at}"), lines, ratio, min_pages)
+    found = boilerplate(shown, F.col("_host"), F.col(f"_c{at}"), lines, ratio, least)
     lists = settle(found.groupBy("host").agg(F.collect_list("line").alias("_list")), "boilerplate")
     joined = shown.join(lists.withColumnRenamed("host", "_host"), "_host", "left")
     gone = F.col("_list")
@@ -117,4 +117,5 @@ def html_lines(html: Column) -> Column:
     text = F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", "")
     text = F.regexp_replace(text, r"(?i)</?(?:p|div|li|ul|ol|h[1-6]|br|tr|table|nav|article|header|footer|title|head|body|html)\b[^>]*>", "\n")
     text = F.regexp_replace(text, r"<[^>]*>", "")
-    return F.regexp_replace(text, r"(?:[ \t\r]*\n)+[ \t\r]*", "\n")
+    # Blank lines, from the first blank of a run on: no group repeats, so a run of any length takes no stack and one pass.
+    return F.regexp_replace(text, r"(?<![ \t\r\n])[ \t\r\n]*\n[ \t\r]*", "\n")

@@ -101,10 +101,10 @@ WITH plain AS (
   SELECT page_id, host, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
   FROM plain WHERE text IS NOT NULL
 ), keyed AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS k FROM lines),
-totals AS (SELECT host, count(DISTINCT text) AS host_pages FROM plain WHERE host IS NOT NULL GROUP BY host HAVING count(DISTINCT text) >= 20),
+totals AS (SELECT host, count(DISTINCT text) AS host_pages FROM plain WHERE host IS NOT NULL GROUP BY host),
 bad AS (
   SELECT host, k FROM (SELECT host, k, count(DISTINCT text) AS pages FROM keyed JOIN (SELECT page_id AS p, text FROM plain) ON p = page_id WHERE k <> '' GROUP BY host, k) JOIN totals USING (host)
-  WHERE pages > 1 AND pages > host_pages * 0.1::DOUBLE
+  WHERE pages >= 3 AND pages > host_pages * 0.1::DOUBLE
 ), kept AS (
   SELECT page_id, coalesce(string_agg(CASE WHEN bad.k IS NULL THEN line END, chr(10) ORDER BY pos), '') AS text,
     count(bad.k) AS lines_dropped

@@ -61,12 +61,12 @@ def good(text: str | None) -> bool:
                 or chars < 2 * n or chars > 15 * n or 100 * dup > 50 * lines)
 
 
-def without_boilerplate(rows: list[tuple[int, str, str]], ratio: float = 0.1, least: int = 20) -> dict[int, str]:
+def without_boilerplate(rows: list[tuple[int, str, str]], ratio: float = 0.1, least: int = 3) -> dict[int, str]:
     """Texts by id without boilerplate; rows are id, host, text."""
     key = lambda line: line.strip(" \t\r")
     different = {(host, text) for _, host, text in rows}
     pages, counts = Counter(host for host, _ in different), Counter()
     for host, text in different:
         counts.update((host, k) for k in {key(line) for line in text.split("\n")} if k)
-    bad = {(h, k) for (h, k), n in counts.items() if pages[h] >= least and n > 1 and n > pages[h] * ratio}
+    bad = {(h, k) for (h, k), n in counts.items() if n >= least and n > pages[h] * ratio}
     return {i: "\n".join(line for line in text.split("\n") if (host, key(line)) not in bad) for i, host, text in rows}
