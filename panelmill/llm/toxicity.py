@@ -29,6 +29,9 @@ from .words import Block
 SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS = 1500, 3000, 20_000
 GRAM, RATIO, MOST_BYTES = 5, 8.0, 4096
 WORDS = 40
+# A window has at most so many bytes, or the dictionaries, which lie before it, would be out of the compressors' reach: longer ones
+# (words without spaces between them) are cut into pieces that share as many bytes as the longest dictionary string has.
+WINDOW_BYTES, SHARED_BYTES = 1024, 64
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[9:14] = 32
@@ -89,7 +92,9 @@ def _figures(texts: pa.Array, compressors: Compressors) -> np.ndarray:
     folded = _FOLD[block.data]
     starts = block.starts[heads]
     starts = starts - ((starts > 0) & (folded[starts - 1] == 32)) if len(starts) else starts
-    gains = compressors.gains(folded.tobytes(), starts, block.ends[tails])
+    starts, ends, parent = cut_windows(starts, block.ends[tails])
+    owner = owner[parent]
+    gains = compressors.gains(folded.tobytes(), starts, ends)
     out = np.zeros((block.texts, FIGURES))
     edges = np.searchsorted(owner, np.arange(block.texts + 1))
     for t in range(block.texts):
@@ -101,6 +106,15 @@ def _figures(texts: pa.Array, compressors: Compressors) -> np.ndarray:
     return out
 
 
+def cut_windows(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of at most WINDOW_BYTES, and which of the given ones each is a piece of."""
+    step = WINDOW_BYTES - SHARED_BYTES
+    many = np.maximum(-(-(ends - starts - SHARED_BYTES) // step), 1)
+    parent = np.repeat(np.arange(len(starts)), many)
+    first = starts[parent] + (np.arange(len(parent)) - (np.cumsum(many) - many)[parent]) * step
+    return first, np.minimum(first + WINDOW_BYTES, ends[parent]), parent
+
+
 def _grams(text: str) -> set[bytes]:
     return {w[i:i + GRAM] for w in {b" " + w for w in _words(text)} for i in range(len(w) - GRAM + 1)}
 
@@ -123,7 +137,7 @@ def _book(texts: list[str], others: list[str], counts: Counter, other_counts: Co
                 if hit and at is None:
                     at = i
                 elif not hit and at is not None:
-                    runs[word[at:i + GRAM - 1]] += 1
+                    runs[word[at:i + GRAM - 1][:SHARED_BYTES]] += 1
                     at = None
     book = b""
     for run, _ in sorted(runs.items(), key=lambda x: (-x[1], x[0])):

@@ -4,7 +4,9 @@ import hashlib
 import random
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import Counter
+from fractions import Fraction
 
 import brute
 import numpy as np
@@ -18,14 +20,14 @@ from panelmill.llm.components import components
 from panelmill.llm.exact_dedup import exact_duplicates
 from panelmill.llm.licenses import SENTENCES, scan_licenses
 from panelmill.llm.line_dedup import drop_boilerplate, host_of, html_lines
-from panelmill.llm.mixing import mix, parts_of, period, schedule
+from panelmill.llm.mixing import mix, rows_per_block, schedule, weights_of
 from panelmill.llm.near_dedup import near_duplicates, tuples_for
 from panelmill.llm.packing import OpenWindows, best_fit, pack
 from panelmill.llm.quality import RULES, cascade_order, judge, keep_good
 from panelmill.llm.rollups import TokenRollup
 from panelmill.llm.secrets import find_secrets, train, written
 from panelmill.llm.tokens import WordTokens
-from panelmill.llm.toxicity import fit, fit_texts, score
+from panelmill.llm.toxicity import Compressors, cut_windows, fit, fit_texts, score
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 # Extra columns whose names clash with those the operators use inside or give out.
@@ -199,16 +201,79 @@ def test_quality_order_changes_no_verdict(edge, nothing):
 
 # Mixing
 
-def test_schedule_stays_within_a_block():
-    parts = {"a": 7, "b": 5, "c": 3, None: 1}
-    total = sum(parts.values())
-    slots = period(list(parts.values()))
-    assert sorted(s for own in slots for s in own) == list(range(total))
-    for own, p in zip(slots, parts.values()):
-        for t in range(1, total + 1):
-            assert abs(sum(s < t for s in own) - t * p / total) < 1
-    phases = schedule({"a": 40, "b": 3, "c": 11, None: 0}, parts)
-    assert {k: sum(p.count for p in v) for k, v in phases.items()} == {"a": 40, "b": 3, "c": 11}
+def plain_schedule(blocks: list[int], weights: list[int]) -> tuple[list[list[int]], list[list[Fraction]]]:
+    """The fluid mix moment by moment, in fractions, and earliest deadline first over its windows by looking at all blocks."""
+    left, now, times = [Fraction(n) for n in blocks], Fraction(0), [[Fraction(0)] for _ in blocks]
+    while any(left):
+        total = sum(w for w, n in zip(weights, left) if n)
+        # The next moment at which some source has had a whole block or all it has.
+        step = min((n - (n.numerator - 1) // n.denominator) * total / w for n, w in zip(left, weights) if n)
+        now += step
+        for i, w in enumerate(weights):
+            if left[i]:
+                left[i] -= step * w / total
+                if left[i].denominator == 1:
+                    times[i].append(now)
+    open_blocks = {(i, k): (times[i][k].__floor__(), times[i][k + 1].__ceil__()) for i, n in enumerate(blocks) for k in range(n)}
+    slots: list[list[int]] = [[] for _ in blocks]
+    for slot in range(sum(blocks)):
+        i, k = min((b for b, (release, _) in open_blocks.items() if release <= slot and b[1] == len(slots[b[0]])), key=lambda b: (open_blocks[b][1], b[0]))
+        slots[i].append(slot)
+        assert open_blocks.pop((i, k))[1] >= slot + 1
+    return slots, times
+
+
+def share(times: list[Fraction], t: int) -> Fraction:
+    """What the fluid mix has given a source by a time between its block ends."""
+    k = bisect_right(times, t) - 1
+    return Fraction(k) if k == len(times) - 1 else k + (t - times[k]) / (times[k + 1] - times[k])
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_schedule_of_whole_runs(seed):
+    """Sources of mixed size run out one after the other; every slot of the run stays within a block of the exact shares."""
+    rnd = random.Random(seed)
+    blocks = {f"s{i:02d}": rnd.choice([1, 2, 5, 9, 30, 60]) for i in range(25)}
+    weights = {n: rnd.choice([1, 3, 7, 20]) if seed % 2 else round(b ** 0.5 * 1024) for n, b in blocks.items()}
+    wanted, times = plain_schedule(list(blocks.values()), list(weights.values()))
+    found = schedule({**blocks, None: 0}, {**weights, None: 5})
+    assert {n: s.tolist() for n, s in found.items()} == dict(zip(blocks, wanted))
+    for own, ends in zip(wanted, times):
+        for t in range(sum(blocks.values()) + 1):
+            # Linear between the ends of its blocks at least when no other source runs out there; at the ends exactly.
+            assert abs(bisect_left(own, t) - share(ends, t)) < 1 or any(e[-1] not in ends and e[-1] < ends[-1] for e in times)
+        for k, end in enumerate(ends[1:]):
+            assert bisect_left(own, end.__ceil__()) >= k + 1 and own[k] >= ends[k].__floor__()
+
+
+def test_sixty_sources_that_run_out():
+    rnd = random.Random(60)
+    blocks = {f"s{i:02d}": rnd.randint(1, 400) for i in range(60)}
+    weights = weights_of({n: b * 32 for n, b in blocks.items()})
+    slots = schedule(blocks, weights)
+    assert sorted(s for own in slots.values() for s in own.tolist()) == list(range(sum(blocks.values())))
+    had, exact = dict.fromkeys(blocks, 0), dict.fromkeys(blocks, Fraction(0))
+    owner = {s: n for n, own in slots.items() for s in own.tolist()}
+    for t in range(sum(blocks.values())):
+        had[owner[t]] += 1
+        rest = Fraction(1)
+        while rest and (going := [n for n in blocks if exact[n] < blocks[n]]):
+            total = sum(weights[n] for n in going)
+            step = min([rest, *[(blocks[n] - exact[n]) * total / weights[n] for n in going]])
+            for n in going:
+                exact[n] += step * weights[n] / total
+            rest -= step
+        assert all(abs(had[n] - exact[n]) < 1 for n in blocks)
+        if t > 900:
+            break
+
+
+def test_many_sources_and_large_tables():
+    """No source is too many, and blocks grow with the rows, so their number does not."""
+    slots = schedule({f"s{i}": 1 for i in range(20_000)} | {"large": 2000}, {f"s{i}": 10 for i in range(20_000)} | {"large": 2222})
+    early = [int(n) for n in (slots["large"] < 1100).nonzero()[0]]
+    assert abs(len(early) - 1100 * 2222 / (200_000 + 2222)) < 1
+    assert rows_per_block(10 ** 6) == 32 and 10 ** 11 / rows_per_block(10 ** 11) <= 1 << 20
 
 
 def test_mixing(edge, nothing, documents):
@@ -216,7 +281,7 @@ def test_mixing(edge, nothing, documents):
     found = mixed.collect()
     assert len(found) == edge.count() and "slot" in mixed.columns and "kept" in mixed.columns
     assert len({(r["slot"], r["place"]) for r in found}) == len(found)
-    for r in mix(documents, parts_of({f"src{i}": 1 for i in range(20)}), block_rows=2).groupBy("slot").agg(F.countDistinct("source").alias("n")).collect():
+    for r in mix(documents, {f"src{i}": 1 for i in range(20)}, block_rows=2).groupBy("slot").agg(F.countDistinct("source").alias("n")).collect():
         assert r["n"] == 1
     assert mix(nothing).count() == 0
 
@@ -227,7 +292,7 @@ def test_lines(spark, edge, nothing):
     rows = [(i, f"h{i % 2}", "\n".join([f"own {i}", " menu ", "odd" if i % 4 == 1 else "x", f"own {i}"])) for i in range(20)]
     rows += [(90, "solo", "menu\nmenu"), (91, "h0", ""), *[(100 + i, "h1", "copied\noften") for i in range(30)]]
     frame = spark.createDataFrame(rows, "doc_id long, host string, text string")
-    found = {r["doc_id"]: r for r in drop_boilerplate(frame, F.col("host"), ratio=0.3, min_pages=5, dropped="lines_dropped").collect()}
+    found = {r["doc_id"]: r for r in drop_boilerplate(frame, F.col("host"), ratio=0.3, least=5, dropped="lines_dropped").collect()}
     assert {i: r["text"] for i, r in found.items()} == brute.without_boilerplate(rows, 0.3, 5)
     assert found[0]["lines_dropped"] == 2 and found[90]["lines_dropped"] == 0
     out = drop_boilerplate(edge, F.col("source"))
@@ -235,6 +300,20 @@ def test_lines(spark, edge, nothing):
     assert drop_boilerplate(nothing, F.col("source")).count() == 0
 
 
+def test_small_hosts_lose_their_boilerplate(spark):
+    rows = [(h * 100 + i, f"host{h}", f"menu\nown {h} {i}\n{'twice' if i < 2 else 'other'}") for h in range(2, 12) for i in range(h)]
+    out = drop_boilerplate(spark.createDataFrame(rows, "doc_id long, host string, text string"), F.col("host")).collect()
+    texts = {r["doc_id"]: r["text"] for r in out}
+    assert texts == brute.without_boilerplate(rows)
+    assert all(("menu" in t) == (i < 300) for i, t in texts.items()) and "twice" in texts[500]
+
+
+def test_very_many_blank_lines(spark):
+    html = "<p>a</p>" + "\n" * 100_000 + " \t\r\n" * 50_000 + "<p>b" + " " * 50_000 + "c</p>"
+    row = spark.createDataFrame([(html,)], "html string").select(html_lines(F.col("html")).alias("t")).first()
+    assert row["t"] == "\na\nb" + " " * 50_000 + "c\n"
+
+
 def test_hosts_and_html(spark):
     row = spark.range(1).select(
         host_of(F.lit("HTTPS://me@WWW.Site.org:80/x?y#z")).alias("a"), host_of(F.lit("no url")).alias("b"), host_of(F.lit(None).cast("string")).alias("c"),
@@ -318,3 +397,30 @@ def test_toxicity_on_rows_not_seen(spark, edge, nothing):
 def test_query_runs(spark, name):
     found = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert found.count() > 0 and all(kind != "void" for _, kind in found.dtypes)
+
+
+def test_windows_by_bytes():
+    starts, ends, parent = cut_windows(np.array([0, 300, 2000]), np.array([300, 2000, 60_000]))
+    assert (ends - starts).max() <= 1024 and parent[:1].tolist() == [0] and np.bincount(parent).tolist() == [1, 2, 61]
+    for n, (a, b) in enumerate([(0, 300), (300, 2000), (2000, 60_000)]):
+        own = parent == n
+        assert starts[own][0] == a and ends[own][-1] == b and (starts[own][1:] == ends[own][:-1] - 64).all()
+
+
+def test_toxicity_at_the_end_of_an_unspaced_text(spark):
+    """What marks a class is seen wherever it stands, in one word of 50,000 bytes too; gains are those of windows alone."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("aeioulmnrst") for _ in range(rnd.randint(3, 8)))
+    bad = ["vilescum", "hatefool", "trashpig", "dumbrat"]
+    texts = [" ".join([word() for _ in range(60)] + ([rnd.choice(bad) for _ in range(8)] if i % 2 else [])) for i in range(600)]
+    model = fit_texts([t for i, t in enumerate(texts) if i % 2], [t for i, t in enumerate(texts) if not i % 2])
+    long = "".join(word() for _ in range(9100))[:50_000]
+    rows = [(1, long), (2, long + "vilescumhatefooltrashpigdumbrat" * 3), (3, "vilescumhatefooltrashpigdumbrat" * 3 + long)]
+    found = {r["doc_id"]: r["score"] for r in score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert found[2] > found[1] + 0.2 and abs(found[2] - found[3]) < 0.1
+    compressors = Compressors(model.toxic, model.ordinary)
+    data = (" " + rows[1][1]).encode()
+    starts, ends, _ = cut_windows(np.array([0]), np.array([len(data)]))
+    gains = compressors.gains(data, starts, ends)
+    single = [compressors.gains(data[a:b], np.array([0]), np.array([b - a]))[0] for a, b in zip(starts, ends)]
+    assert gains.tolist() == single and gains[-1] > 5 and np.abs(gains[:-2]).max() <= 4
