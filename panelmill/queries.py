@@ -422,16 +422,22 @@ def row_sample(spark, folder):
     return samples.row_sample(table(spark, folder, "orders"), "o_orderkey")
 
 
-@query("""select * from (values ('o_orderkey', 'bigint', 'numeric', 0), ('o_custkey', 'bigint', 'numeric', 1),
+PROFILED = """select * from (values ('o_orderkey', 'bigint', 'numeric', 0), ('o_custkey', 'bigint', 'numeric', 1),
     ('o_orderstatus', 'string', 'categorical', 2), ('o_totalprice', 'double', 'numeric', 3), ('o_orderdate', 'timestamp_ntz', 'datetime', 4),
     ('o_orderpriority', 'string', 'categorical', 5)) as t("column", data_type, family, position), lateral (
     select case "column" when 'o_totalprice' then count(o_totalprice) when 'o_orderpriority' then count(o_orderpriority) else count(*) end as count,
     case "column" when 'o_totalprice' then count(*) - count(o_totalprice) when 'o_orderpriority' then count(*) - count(o_orderpriority) else 0 end as missing
-    from """ + NULLED + ")")
+    from """ + NULLED + ")"
+
+
+@query(f"""select b.*, t."unique", t.top, t.freq, n.mean, n.std, n.min, n.q25, n.q50, n.q75, n.max from ({PROFILED}) b
+    left join ({_describe_sql(NULLED, ["o_orderkey", "o_custkey", "o_totalprice"])}) n on n."column" = b."column"
+    left join ({_describe_text_sql(NULLED, ["o_orderstatus", "o_orderpriority"])}) t on b."column" = t."column" """)
 def column_profile(spark, folder):
-    """Type, family, present and missing cells of every column."""
+    """Type, family, present and missing cells and all statistics of every column; moments are compared in `describe_datetime`."""
     whole = profile.column_profile(orders_with_nulls(spark, folder))
-    return whole.select("column", "data_type", "family", "position", "count", "missing")
+    numbers = [F.round(F.col(c).try_cast("double"), 4 if c == "std" else 6).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")]
+    return whole.select("column", "data_type", "family", "position", "count", "missing", "unique", "top", "freq", *numbers)
 
 
 @query("""select count(*) as rows, 6 as columns, 3 as numeric_columns_count, 2 as categorical_columns_count, count(*) > 0 as has_data from orders""")
