@@ -19,7 +19,8 @@ import pyarrow as pa
 from .words import Block
 
 KNOWN_WORDS, KNOWN_PIECES = 600_000, 100_000
-BLOCK = 1 << 20
+# Half of what other operators take: with the table of words beside it, a block sets what a packing task needs.
+BLOCK = 1 << 19
 _LETTERS = "a-zß-öø-ÿ"
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 # The pattern of the tokenizer file, for the characters of _PLAIN in lower case.
