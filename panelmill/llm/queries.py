@@ -146,7 +146,10 @@ ORACLE["op8_license_scan"] = oracle()
 
 @query
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Provisional counts by words, revised to tokens, less the documents labelled as of low quality, each batch once."""
+    """Provisional counts by words, revised to tokens; documents labelled as of low quality are withdrawn and given back.
+
+    Each batch counts once, and the totals are those of all rows: a row has a key of its own, also without a doc_id.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", text_of().alias("text"))
     path = public_tokenizers.path("word_bpe_49k.json")
 
@@ -157,15 +160,17 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                 [*[batch.column(c) for c in ("doc_id", "source", "lang")], pa.array(Block(text).n_words.astype("int64")),
                  pa.array(WordTokens.of(path).counts(text).astype("int64"))], ["doc_id", "source", "lang", "words", "tokens"])
 
-    counts = settle(docs.mapInArrow(counted, "doc_id long, source string, lang string, words long, tokens long"), "counts")
+    counts = docs.mapInArrow(counted, "doc_id long, source string, lang string, words long, tokens long")
+    # The keys are fixed by being written.
+    counts = settle(counts.withColumn("row_key", F.monotonically_increasing_id()), "counts")
     rollup = TokenRollup(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/panelmill-{uuid.uuid4().hex}/rollup")
-    key = ["doc_id", "source", "lang"]
+    key = [F.col("row_key").alias("doc_id"), "source", "lang"]
     first = counts.select(F.lit("insert").alias("op"), *key, F.lit("words").alias("version"), F.col("words").alias("tokens"))
     exact = counts.select(F.lit("revise").alias("op"), *key, F.lit("word_bpe_49k").alias("version"), "tokens")
     poor = table(spark, sf_dir, "labels").where("quality = 0").select("doc_id")
-    gone = counts.join(poor, "doc_id", "left_semi").select(
-        F.lit("delete").alias("op"), *key, F.lit("word_bpe_49k").alias("version"), "tokens")
-    for name, changes in (("load", first), ("recount", exact), ("withdraw", gone), ("recount", exact)):
+    listed = counts.join(poor, "doc_id", "left_semi").select(*key, F.lit("word_bpe_49k").alias("version"), "tokens")
+    gone, back = (listed.select(F.lit(op).alias("op"), "*") for op in ("delete", "insert"))
+    for name, changes in (("load", first), ("recount", exact), ("withdraw", gone), ("restore", back), ("recount", exact)):
         rollup.apply(name, changes)
     return rollup.totals()
 

@@ -374,6 +374,41 @@ def test_rollup(spark, tmp_path):
     assert store.current().count() == 2
 
 
+def test_rollup_against_a_plain_count_over_many_batches(spark, tmp_path):
+    rng, plain = random.Random(3), {}
+    store = TokenRollup(spark, str(tmp_path / "store"), buckets=2)
+    plans = []
+    for n in range(12):
+        rows = []
+        for i in rng.sample(range(40), 9):
+            op, key = rng.choice(["insert", "revise", "delete"]), (rng.choice(["a", None]), rng.choice(["en", "é"]), f"v{n % 2}")
+            rows.append((op, i, *key, rng.randint(0, 9)))
+            plain.pop(i, None)
+            if op != "delete":
+                plain[i] = (*key, rows[-1][-1])
+        assert store.apply(f"batch {n}/x", spark.createDataFrame(rows, "op string, doc_id long, source string, lang string, version string, tokens long"))
+        plans.append(len(store.current()._jdf.queryExecution().optimizedPlan().toString()))
+        assert max(map(len, store._state()["entries"].values())) <= 8 and len(store._state()["sums"]) <= 8
+    wanted = {}
+    for source, lang, version, tokens in plain.values():
+        docs, total = wanted.get((source, lang, version), (0, 0))
+        wanted[source, lang, version] = docs + 1, total + tokens
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in store.totals().collect()} == wanted
+    assert {r["doc_id"]: tuple(r)[1:] for r in store.current().collect()} == plain
+    assert "batch 3/x" in store.committed() and not store.apply("batch 3/x", spark.createDataFrame([], "op string"))
+    assert max(plans) - min(plans) < 50  # one scan, whatever the number of batches
+
+
+def test_token_counts_against_the_tokenizer(spark):
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    wanted = {}
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
+        key = (r["source"], r["lang"], "word_bpe_49k")
+        docs, total = wanted.get(key, (0, 0))
+        wanted[key] = docs + 1, total + len(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids)
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in queries.op2_token_counts(spark, "/root/testdata/sf0.001").collect()} == wanted
+
+
 # Toxicity
 
 def test_toxicity_on_rows_not_seen(spark, edge, nothing):
