@@ -6,7 +6,8 @@ identifier of the same documents is labelled ordinary. Distinct strings count on
 counted grows with the corpus. A string is a secret if the sum of its log-likelihood ratios reaches `EVIDENCE`.
 
 **Form.** All of it is built-in functions: a match's place follows from the lengths of what `split` leaves between the
-matches. The only thing that reaches the driver is the table of pair counts, as wide as the alphabet squared.
+matches. The time for a text grows in proportion to its length, and barely faster with its number of secrets. The only
+thing that reaches the driver is the table of pair counts, as wide as the alphabet squared.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-.
 WIDTH = len(ALPHABET) + 1
 # Natural logarithm: about one in 160,000 ordinary strings would reach it if the models were exact.
 EVIDENCE = 12.0
+# Spans gathered by appending, or passed over together. No result depends on it.
+CHUNK = 256
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -37,8 +40,18 @@ def _matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
+def _chunks(items: Column) -> Column:
+    """An array in pieces of `CHUNK`."""
+    last = F.floor((F.size(items) - 1) / CHUNK).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(items, i * CHUNK + 1, F.lit(CHUNK)))
+    return F.filter(pieces, lambda piece: F.size(piece) > 0)
+
+
 def _placed(text: Column, matches: Column, pattern: str, kind: str, keep) -> Column:
-    """`SPANS` of the matches that `keep` accepts, in order; the regular expression splits only texts with a match."""
+    """`SPANS` of the matches that `keep` accepts, in order; the regular expression splits only texts with a match.
+
+    Appending copies an array, so spans are gathered by chunks, and only the chunks are gathered for the whole text.
+    """
     between = F.slice(F.split(text, pattern, -1), 1, F.size(matches))
     pairs = F.zip_with(between, matches, lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("m")))
     none = F.array().cast(SPANS)
@@ -50,10 +63,27 @@ def _placed(text: Column, matches: Column, pattern: str, kind: str, keep) -> Col
         spans = F.when(keep(x["m"]), F.concat(done["spans"], span)).otherwise(done["spans"])
         return F.struct(end.alias("at"), spans.alias("spans"))
 
-    walked = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda done: done["spans"])
+    def piece(done: Column, chunk: Column) -> Column:
+        begin = F.struct(done["last"]["at"].alias("at"), none.alias("spans"))
+        return F.struct(F.aggregate(chunk, begin, step).alias("last"), F.concat(done["done"], F.array(done["last"]["spans"])).alias("done"))
+
+    begin = F.struct(F.struct(F.lit(0).alias("at"), none.alias("spans")).alias("last"), F.array().cast(f"array<{SPANS}>").alias("done"))
+    walked = F.aggregate(_chunks(pairs), begin, piece, lambda x: F.flatten(F.concat(x["done"], F.array(x["last"]["spans"]))))
     return F.when(F.size(matches) > 0, walked).otherwise(none)
 
 
+def _apart(spans: Column, others: Column) -> Column:
+    """The spans that overlap none of the others; whole chunks of these, which are in order of start, are passed over."""
+    ends = lambda chunk: F.array_max(F.transform(chunk, lambda b: b["end"]))
+    chunks = F.transform(_chunks(F.array_sort(others)), lambda c: F.struct(
+        F.element_at(c, 1)["start"].alias("start"), ends(c).alias("end"), c.alias("spans")))
+    meets = lambda b, s: (b["start"] < s["end"]) & (s["start"] < b["end"])
+    # The chunks are made once a text, not once a span.
+    walked = F.transform(F.array(chunks), lambda known: F.filter(
+        spans, lambda s: ~F.exists(known, lambda c: meets(c, s) & F.exists(c["spans"], lambda b: meets(b, s)))))
+    return F.element_at(walked, 1)
+
+
 def _long_enough(kind: str):
     pattern, group, least = PATTERNS[kind]
     return lambda m: F.length(F.regexp_extract(m, pattern, group)) >= least
@@ -63,11 +93,16 @@ def _value(pattern: str, group: int):
     return lambda m: F.regexp_extract(m, pattern, group)
 
 
-def _cell(string: Column, at: Column) -> Column:
-    """The number of the pair of characters at a place: the one before, or none at the first place, and the own one."""
-    own = F.instr(F.lit(ALPHABET), F.substring(string, at, F.lit(1)))
-    before = F.when(at > 1, F.instr(F.lit(ALPHABET), F.substring(string, at - 1, F.lit(1)))).otherwise(0)
-    return before * WIDTH + own
+def _codes(string: Column) -> Column:
+    """The numbers of a string's characters; it is cut into characters once, as finding a place walks there from the start."""
+    return F.transform(F.split(string, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+
+
+def _cells(string: Column) -> Column:
+    """The number of every pair of characters: the one before, or none at the first place, and the own one."""
+    codes = _codes(string)
+    pairs = F.zip_with(F.concat(F.array(F.lit(0)), codes), codes, lambda before, own: before * WIDTH + own)
+    return F.slice(pairs, F.lit(1), F.length(string))
 
 
 def train(docs: DataFrame, text_column: str = "text") -> list[float]:
@@ -86,8 +121,8 @@ def train(docs: DataFrame, text_column: str = "text") -> list[float]:
     plain = found.select(F.explode(ordinary).alias("s")).distinct()
     # An identifier is as ordinary in capitals or small letters.
     plain = plain.select(F.explode(F.array("s", F.upper("s"), F.lower("s"))).alias("s")).distinct().withColumn("random", F.lit(0))
-    at = random_one.unionByName(plain).select("random", "s", F.explode(F.sequence(F.lit(1), F.length("s"))).alias("i"))
-    counts = at.groupBy("random", _cell(F.col("s"), F.col("i")).alias("cell")).count().collect()
+    cells = random_one.unionByName(plain).select("random", F.explode(_cells(F.col("s"))).alias("cell"))
+    counts = cells.groupBy("random", "cell").count().collect()
     logs = [[0.0] * (WIDTH * WIDTH) for _ in range(2)]
     seen = {(r["random"], r["cell"]): r["count"] for r in counts}
     for label in range(2):
@@ -107,8 +142,13 @@ def _sql(pattern: str) -> str:
 
 def _evidence(string: Column, ratios: list[float]) -> Column:
     table = F.lit(ratios)
-    places = F.sequence(F.lit(1), F.length(string))
-    return F.aggregate(places, F.lit(0.0), lambda total, i: total + F.element_at(table, _cell(string, i) + 1))
+
+    def step(done: Column, own: Column) -> Column:
+        ratio = F.element_at(table, done["before"] * WIDTH + own + 1)
+        return F.struct(own.alias("before"), (done["total"] + ratio).alias("total"))
+
+    begin = F.struct(F.lit(0).alias("before"), F.lit(0.0).alias("total"))
+    return F.aggregate(_codes(string), begin, step, lambda done: done["total"])
 
 
 def find_secrets(docs: DataFrame, ratios: list[float] | None = None, text_column: str = "text") -> DataFrame:
@@ -132,8 +172,7 @@ def find_secrets(docs: DataFrame, ratios: list[float] | None = None, text_column
         looks_random = lambda m: F.when(has_letter(m), _evidence(m, ratios) >= EVIDENCE).otherwise(False)
         more = _placed(text, F.col("_m_markov"), CANDIDATE, "markov", looks_random)
         shown = shown.withColumn("_more", more)
-        apart = F.filter("_more", lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-        spans = F.array_sort(F.concat("_base", apart))
+        spans = F.array_sort(F.concat("_base", _apart(F.col("_more"), F.col("_base"))))
     else:
         spans = F.array_sort(base)
     return shown.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)], spans.alias("secrets"))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from bisect import bisect_left, bisect_right
 from collections import Counter
@@ -25,7 +26,7 @@ from panelmill.llm.near_dedup import near_duplicates, tuples_for
 from panelmill.llm.packing import OpenWindows, best_fit, pack
 from panelmill.llm.quality import RULES, cascade_order, judge, keep_good
 from panelmill.llm.rollups import TokenRollup
-from panelmill.llm.secrets import find_secrets, train, written
+from panelmill.llm.secrets import ALPHABET, CANDIDATE, EVIDENCE, IDENTIFIER, PATTERNS, WIDTH, find_secrets, train, written
 from panelmill.llm.tokens import WordTokens
 from panelmill.llm.toxicity import Compressors, cut_windows, fit, fit_texts, score
 
@@ -344,6 +345,71 @@ def test_secrets(spark, edge, nothing):
     assert find_secrets(nothing).count() == 0 and not any(train(nothing))
 
 
+def plain_base_spans(text):
+    found = []
+    for k, (pattern, group, least) in enumerate(PATTERNS.values()):
+        found += [(m.start(), k, m.end(), m[group]) for m in re.finditer(pattern, text, re.A) if len(m[group]) >= least]
+    return sorted(found)
+
+
+def plain_cells(s):
+    codes = [0, *[ALPHABET.find(c) + 1 for c in s]]
+    return [a * WIDTH + b for a, b in zip(codes, codes[1:], strict=False)]
+
+
+def test_secret_models_against_a_plain_count(spark):
+    rng = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    draw = lambda n: "".join(rng.choices(letters, k=n))
+    texts = [f"password={draw(30)} readFileContents of_the_current_user_account é {draw(8)}_x" for _ in range(40)]
+    # More secrets than a chunk holds, on both sides of and within other matches.
+    texts.append(" ".join(f"secret: {draw(12)} {draw(60)} the_ordinary_words_of_a_name_{draw(2)}" for _ in range(700)))
+    texts += ["no labelled value here " + draw(40), draw(3000), "", None]
+    values, ordinary = set(), set()
+    for t in texts:
+        base = plain_base_spans(t or "")
+        if any(re.search(p, t or "", re.A) for p, _, _ in PATTERNS.values()):
+            values.update(x[3] for x in base)
+            rest = t
+            for p, _, _ in PATTERNS.values():
+                rest = re.sub(p, " ", rest, flags=re.A)
+            ordinary.update(v for m in re.findall(IDENTIFIER, rest) for v in (m, m.upper(), m.lower()))
+    counts = [Counter(c for s in strings for c in plain_cells(s)) for strings in (ordinary, values)]
+    logs = []
+    for found in counts:
+        rows = np.array([found[i] for i in range(WIDTH * WIDTH)], float).reshape(WIDTH, WIDTH) + 0.5
+        logs.append(np.log(rows / rows.sum(1, keepdims=True)).ravel())
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ratios = train(frame)
+    assert np.allclose(ratios, logs[1] - logs[0])
+    found = {r["doc_id"]: r["secrets"] for r in find_secrets(frame, ratios).collect()}
+    for i, t in enumerate(texts):
+        base = [x[:3] for x in plain_base_spans(t or "")]
+        more = [(m.start(), 3, m.end()) for m in re.finditer(CANDIDATE, t or "")
+                if re.search("[A-Za-z]", m[0]) and sum(ratios[c] for c in plain_cells(m[0])) >= EVIDENCE
+                and not any(a < m.end() and m.start() < e for a, _, e in base)]
+        assert [tuple(x) for x in found[i]] == sorted(base + more), i
+    assert sum(x["kind"] == 3 for x in found[40]) > 256
+
+
+def test_secrets_of_a_text_with_a_megabyte_without_space(spark):
+    rng = random.Random(6)
+    blob = "".join(rng.choices(ALPHABET[:64], k=1_000_000))
+    frame = spark.createDataFrame([(1, f"token={blob[:30]} plain_words_for_contrast {blob} secret=abcdef")], "doc_id long, text string")
+    begin = time.monotonic()
+    spans = [tuple(x) for x in find_secrets(frame).collect()[0]["secrets"]]
+    assert spans[0] == (0, 0, 36) and spans[-1][1] == 0 and time.monotonic() - begin < 60
+
+
+def test_secret_digests_against_plain_patterns(spark):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    for r in queries.op1_secret_scan(spark, "/root/testdata/sf0.001").collect():
+        base = plain_base_spans(texts[r["doc_id"]])
+        spans = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{e}" for a, k, e, _ in base)
+        assert r["base_sha256"] == hashlib.sha256(spans.encode()).hexdigest()
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(x[1] == k for x in base) for k in range(3)]
+
+
 # Licences
 
 def test_licenses(spark, edge, nothing):
