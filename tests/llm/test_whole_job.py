@@ -5,7 +5,9 @@ from __future__ import annotations
 import textwrap
 
 import corpus_pipeline
-from panelmill.llm.licenses import RULES, SENTENCES, scan_licenses
+import duckdb
+import pandas as pd
+from panelmill.llm.licenses import RULES, SENTENCES, oracle, scan_licenses
 
 
 def test_line_dedup_of_rare_passages(spark):
@@ -30,3 +32,16 @@ def test_every_licence_rule_in_wrapped_text_below_a_title(spark):
     texts.append("Copyright Some Holder\n" + SENTENCES[23])
     found = scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
     assert [r["licenses"] for r in found] == [[licence] for licence, _ in RULES for _ in range(2)] + [["MPL-2.0"]]
+
+
+def test_licences_by_both_engines(spark):
+    texts = [None, "", "plain words. And more", "\n".join(SENTENCES), " ".join(SENTENCES), "\n\n".join(reversed(SENTENCES))]
+    for i, (_, numbers) in enumerate(RULES):
+        joined = " ".join(SENTENCES[n - 1] for n in numbers)
+        texts += [joined, joined.replace(" ", "\n * "), "A Title\n--\n" + "\n".join(textwrap.wrap(joined, 50)), joined[: len(joined) - 9] + joined,
+                  " ".join(SENTENCES[n - 1] + " Words between." * (i % 5) for n in numbers)]
+    documents = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})  # noqa: F841
+    wanted = {r[0]: r[1:] for r in duckdb.sql("SELECT doc_id, licenses, n_licenses, terms FROM (" + oracle() + ")").fetchall()}
+    found = scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (",".join(r["licenses"]), len(r["licenses"]), r["terms"]) for r in found} == wanted
+    assert {x for r in found for x in r["licenses"]} == {licence for licence, _ in RULES}
