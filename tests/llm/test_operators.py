@@ -476,6 +476,25 @@ def test_token_counts_against_the_tokenizer(spark):
     assert {tuple(r)[:3]: tuple(r)[3:] for r in queries.op2_token_counts(spark, "/root/testdata/sf0.001").collect()} == wanted
 
 
+def test_token_counts_of_odd_tables(spark, tmp_path):
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    rows = [(1, "a", "en", "some words"), (1, "a", "en", "some words"), (None, "a", None, "more é"), (2, None, "en", None), (3, "b", "en", ""),
+            (4, "b", "en", "x" * 50_000), (5, "b", "en", "last")]
+    wanted = {}
+    for _, source, lang, text in rows:
+        docs, total = wanted.get((source, lang), (0, 0))
+        wanted[source, lang] = docs + 1, total + len(tokenizer.encode(text or "", add_special_tokens=False).ids)
+    for name, kept in (("full", rows), ("empty", [])):
+        folder = str(tmp_path / name)
+        frame = spark.createDataFrame(kept, "doc_id long, source string, lang string, text string").withColumns({"tokens": F.lit(1), "bucket": F.lit(2), "op": F.lit("x")})
+        frame.write.parquet(f"{folder}/documents.parquet")
+        # Labels repeat, are null, or name no document.
+        labels = spark.createDataFrame([(1, 0), (1, 0), (None, 0), (9, 0), (5, 1), (4, None)], "doc_id long, quality int")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        found = {(r["source"], r["lang"]): (r["docs"], r["tokens"]) for r in queries.op2_token_counts(spark, folder).collect()}
+        assert found == (wanted if kept else {})
+
+
 # Toxicity
 
 def test_toxicity_on_rows_not_seen(spark, edge, nothing):
