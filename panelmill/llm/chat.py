@@ -1,9 +1,10 @@
 """Conversations as training examples: every assistant turn an example of its own, its context all turns before it.
 
-Turns become pieces of text: a mark, the role, a line feed, the text, an end mark. The examples of a conversation are prefixes of
-one another, so a conversation is kept once, as the list of its pieces, and each example names how many of them it takes and which
-characters of the last one are trainable: only the reply. Written out one by one, the examples of a conversation would grow
-with the square of its turns. `example_texts` writes them out where a reader wants that.
+Turns become pieces of text: a mark, the role, a line feed, the text, an end mark. `format_chats` lists the pieces of a conversation
+and, per example, how many of them it takes and which of its characters are trainable: only the reply. `example_texts` writes every
+example out, one row each, its whole context before the reply; `read_back` reads the trained text under the masks of these texts and
+the turns between the marks of the formatted conversation. Written out, the examples of a conversation grow with the square of its
+turns; each is a row of its own, made and read one at a time, so memory holds one conversation and one example, never all of them.
 
 Marks never occur inside texts: a control string there gets one escape sign after its first character, and one that has such
 signs already gets one more, so taking one sign away restores the text exactly. Everything is built-in functions. A conversation
@@ -12,9 +13,12 @@ meets in one row, as it must to become one text; conversations are spread by the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 TURN, END = "<|turn|>", "<|end|>\n"
+_TURN_MARK = r"<\|turn\|>"
 ROLE_END = "\n"
 TARGET = "assistant"
 # Control strings of this and of other templates: <|name|>, <s>, </s>, [INST], [/INST], <<SYS>>, <</SYS>>. One escape sign after
@@ -93,26 +97,40 @@ def explode_examples(chats: DataFrame) -> DataFrame:
     return each.select("conv_id", "e.*", F.element_at("_pieces", F.col("e.pieces")).alias("reply"))
 
 
+def _written(chats: DataFrame, explode: Callable[[str], Column], *kept: str) -> DataFrame:
+    """Every example's context and reply as one text, with the span that is trained."""
+    each = chats.select("conv_id", *kept, F.col("pieces").alias("_pieces"), explode("examples").alias("e"))
+    text = F.array_join(F.slice("_pieces", 1, F.col("e.pieces")), "")
+    return each.select("conv_id", *kept, "e.example", text.alias("text"), "e.loss_start", "e.loss_end")
+
+
 def example_texts(chats: DataFrame) -> DataFrame:
     """One row per example: `conv_id, example, text, loss_start, loss_end`, the text written out with its whole context."""
-    each = chats.select("conv_id", F.col("pieces").alias("_pieces"), F.explode("examples").alias("e"))
-    return each.select("conv_id", "e.example", F.array_join(F.slice("_pieces", 1, F.col("e.pieces")), "").alias("text"), "e.loss_start", "e.loss_end")
+    return _written(chats, F.explode)
 
 
 def read_back(chats: DataFrame) -> DataFrame:
     """`conv_id, n_turns, turns, loss, formatted_chars, n_examples, example_chars`: the conversations, from the formatted output alone.
 
-    `turns` is role, line feed, text, line feed of every turn; `loss` is all text under the loss masks, unescaped; `example_chars`
-    is what the examples would take written out.
+    `turns` is role, line feed, text, line feed of every turn, taken apart at the marks of the formatted conversation; `loss` is all text
+    under the loss masks of the written-out examples, unescaped; `example_chars` is the length of these examples.
     """
-    turns = F.transform("pieces", lambda p: F.concat(role_of(p), F.lit("\n"), text_of_piece(p), F.lit("\n")))
-
-    def masked(e: Column) -> Column:
-        last = F.element_at("pieces", e["pieces"])
-        return unescaped(F.substring(last, (e["loss_start"] - e["context_chars"]).cast("int") + 1, (e["loss_end"] - e["loss_start"]).cast("int")))
-
-    whole = F.aggregate("pieces", F.lit(0).cast("long"), lambda n, p: n + F.length(p))
-    spread = F.aggregate("examples", F.lit(0).cast("long"), lambda n, e: n + e["context_chars"] + F.length(F.element_at("pieces", e["pieces"])))
-    return chats.select("conv_id", F.size("pieces").cast("long").alias("n_turns"), F.array_join(turns, "").alias("turns"),
-                        F.array_join(F.transform("examples", masked), "").alias("loss"), whole.alias("formatted_chars"),
-                        F.size("examples").cast("long").alias("n_examples"), spread.alias("example_chars"))
+    formatted = chats.select("conv_id", "pieces", "examples", F.array_join("pieces", "").alias("_whole"))
+    # Nothing stands before the first mark.
+    parts = formatted.select("conv_id", "pieces", "examples", F.slice(F.split("_whole", _TURN_MARK), 2, 1 << 30).alias("_parts"),
+                             F.length("_whole").cast("long").alias("formatted_chars"))
+    marked = F.transform("_parts", lambda p: F.concat(F.lit(TURN), p))
+    turns = F.transform(marked, lambda p: F.concat(role_of(p), F.lit("\n"), text_of_piece(p), F.lit("\n")))
+    wholes = parts.select("conv_id", "pieces", "examples", F.size("_parts").cast("long").alias("n_turns"),
+                          F.array_join(turns, "").alias("turns"), "formatted_chars")
+    # A conversation without examples keeps one row; its turns travel with the first row alone.
+    kept = ("n_turns", "turns", "formatted_chars")
+    texts = _written(wholes, F.explode_outer, *kept)
+    loss = unescaped(F.substring("text", F.col("loss_start").cast("int") + 1, (F.col("loss_end") - F.col("loss_start")).cast("int")))
+    first = F.coalesce(F.col("example") == 1, F.lit(True))
+    read = texts.select("conv_id", "example", *[F.when(first, F.col(c)).alias(c) for c in kept],
+                        F.when(F.col("example").isNotNull(), F.struct("example", loss.alias("loss"))).alias("_loss"), F.length("text").cast("long").alias("_chars"))
+    losses = F.transform(F.array_sort(F.collect_list("_loss")), lambda x: x["loss"])
+    return read.groupBy("conv_id").agg(*[F.max(c).alias(c) for c in kept], F.array_join(losses, "").alias("loss"), F.count("example").alias("n_examples"),
+                                       F.coalesce(F.sum("_chars"), F.lit(0)).alias("example_chars")).select(
+        "conv_id", "n_turns", "turns", "loss", "formatted_chars", "n_examples", "example_chars")

@@ -3,6 +3,7 @@
 import hashlib
 
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from panelmill.llm import chat
 
@@ -67,3 +68,28 @@ def test_marks_never_occur_inside_texts(spark):
     pieces = [p for r in chat.format_chats(frame(spark, ODD)).collect() for p in r["pieces"]]
     for mark in ("<|turn|>", "<|end|>", "</s>", "[INST]", "[/INST]"):
         assert all(p.count(mark) == (mark in ("<|turn|>", "<|end|>")) for p in pieces)
+
+
+def test_the_loss_is_read_under_the_masks_of_written_out_examples(spark):
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", f"[INST] {i}é") for i in range(60)] + [(2, 0, "user", "no reply")]
+    chats = chat.format_chats(frame(spark, rows))
+    found = {r["conv_id"]: r for r in chat.read_back(chats).collect()}
+    texts = sorted((r["example"], r["text"]) for r in chat.example_texts(chats).collect())
+    assert len(texts) == found[1]["n_examples"] == 30 and found[1]["example_chars"] == sum(len(text) for _, text in texts)
+    assert (found[2]["n_turns"], found[2]["loss"], found[2]["n_examples"], found[2]["example_chars"]) == (1, "", 0, 0)
+    # A mask that reaches into the context finds the context there.
+    wide = chats.withColumn("examples", F.transform("examples", lambda e: e.withField("loss_start", F.lit(0).cast("long"))))
+    losses = {r["conv_id"]: r["loss"] for r in chat.read_back(wide).collect()}
+    assert losses[1] == "".join(text.replace("[\\INST]", "[INST]").removesuffix("<|end|>\n") for _, text in texts)
+
+
+def test_turns_are_found_at_the_marks_of_the_formatted_text(spark):
+    chats = chat.format_chats(frame(spark, ODD))
+    joined = chats.withColumns({"pieces": F.array(F.array_join("pieces", "")), "examples": F.slice("examples", 1, 0)})
+    found = {r["conv_id"]: (r["n_turns"], r["turns"]) for r in chat.read_back(joined).collect()}
+    assert found == {conv: (n, turns) for conv, (n, turns, _, _) in plain(ODD).items()}
+
+
+def test_examples_move_no_second_time_and_none_gathers_all_texts(spark):
+    text = chat.read_back(chat.format_chats(frame(spark, ODD)))._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1 and "Generate explode" in text and "Join" not in text
