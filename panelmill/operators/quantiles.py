@@ -11,10 +11,11 @@ where the scale s never decreases as v grows. A drawer brings along its least an
 values that lie close together around any offset are spread over all its folders. Only values of one
 folder are ever put in order one by one, in a running count that spills to disk if it must.
 
-The whole is one lazy plan of three narrow scans. The chosen buckets are at most two per group and
-probability; whether they are broadcast is left to the size that adaptive execution measures, and a
-bucket that holds most rows of a join is split there too, so adaptive execution must be on. A group's
-result depends on its own values alone: the two neighbouring values and one expression between them.
+The whole is one lazy plan of narrow scans. The chosen buckets are at most two per group and probability;
+rows look them up in a hash table of their task, so no task sorts the rows of a group, and after the first
+lookup rows are dealt by folder, as one drawer may hold a whole group. A drawer or folder that holds most
+rows of a join is split by adaptive execution, which must be on. A group's result depends on its own values
+alone: the two neighbouring values and one expression between them.
 """
 
 from __future__ import annotations
@@ -56,26 +57,27 @@ def quantile_columns(df: DataFrame, keys: list[str], value: str, names: dict[str
         raise SpecError("quantiles need at least one key column")
     rows = df.where(F.col(value).isNotNull()).select(
         *keys, F.col(value).alias("_v"), F.floor(scale(F.col(value))).cast("bigint").alias("_drawer"))
-    drawer, folder = [*keys, "_drawer"], [*keys, "_drawer", "_folder"]
+    drawer, folder = [*keys, "_drawer"], [*keys, "_in", "_folder"]
     total = F.sum("_n").over(Window.partitionBy(*keys))
     # Later passes need no restriction: they look only into drawers the first one chose.
     first = rows if only is None else rows.join(only, keys, "left_semi")
     ends = [F.min("_v").cast("double").alias("_least"), F.max("_v").cast("double").alias("_most")]
     drawers = _counted(first, drawer, *ends).withColumns({"_total": total, "_start": F.lit(0).cast("bigint")})
-    in_drawer = _holding(drawers, keys, "_drawer", names).drop("_n", "_until")
-    # Total, start and ends are constant within a bucket; they ride along as grouping columns. The quotient of
-    # halves stays finite where the difference of the ends would not.
+    # From here on a chosen bucket goes by the rows of its group before it, which no two share, so that rows and counts
+    # are dealt by folder and not by drawer: one drawer may hold a whole group.
+    in_drawer = _holding(drawers, keys, "_drawer", names).select(*drawer, F.col("_start").alias("_in"), "_total", "_least", "_most")
+    # The quotient of halves stays finite where the difference of the ends would not.
     finite = "_most > _least AND _most < double('Infinity') AND _least > double('-Infinity')"
     part = f"least((double(_v) / 2 - _least / 2) / (_most / 2 - _least / 2) * {FOLDERS}, {FOLDERS - 1})"
-    in_part = F.expr(f"IF({finite}, int({part}), 0)")
-    placed = rows.join(in_drawer, drawer).withColumn("_folder", in_part)
-    folders = _counted(placed, [*folder, "_total", "_start", "_least", "_most"])
-    in_folder = _holding(folders, drawer, "_folder", names).select(
-        *drawer, F.col("_folder").alias("_wanted"), "_total", "_start", "_least", "_most")
+    in_part = F.expr(f"IF({finite}, int({part}), 0)").alias("_folder")
+    placed = rows.join(in_drawer.hint("shuffle_hash"), drawer).select(*keys, "_in", in_part, "_v", "_total")
+    # The total is constant within a bucket; it rides along as a grouping column.
+    folders = _counted(placed, [*folder, "_total"]).withColumn("_start", F.col("_in"))
+    in_folder = _holding(folders, [*keys, "_in"], "_folder", names).select(*folder, "_start")
     # At most two folders per drawer and probability are wanted.
-    near = rows.join(in_folder, drawer).where(in_part == F.col("_wanted"))
-    pages = _counted(near.withColumnRenamed("_wanted", "_folder"), [*folder, "_v", "_total", "_start"])
-    return _interpolate(_holding(pages, folder, "_v", names), keys, names)
+    near = placed.join(in_folder.hint("shuffle_hash"), folder)
+    pages = _counted(near, [*keys, "_v", "_total", "_start"])
+    return _interpolate(_holding(pages, [*keys, "_start"], "_v", names), keys, names)
 
 
 def _counted(rows: DataFrame, bucket: list[str], *more: Column) -> DataFrame:

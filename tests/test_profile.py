@@ -1,5 +1,6 @@
 import json
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -67,6 +68,22 @@ def test_quantiles_of_close_values_around_an_offset_use_many_folders(spark):
     assert "Coalesce" not in text and "SinglePartition" not in text
 
 
+def test_quantiles_deal_the_rows_of_one_drawer_by_folder_and_sort_none(spark):
+    frame = spark.range(30_000).selectExpr("string(id % 3) AS k", "if(id < 9000, 1e9, 1e9 + id * 0.001) AS v")
+    pairs = [(r["k"], r["v"]) for r in frame.collect()]
+    big = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for threshold in (big, "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            found = quantile_columns(frame, ["k"], "v", NAMES)
+            for row in found.collect():
+                assert [row[n] for n in NAMES] == pytest.approx(by_pandas(pairs)[row["k"]], rel=1e-15)
+            text = found._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in text and re.search(r"Exchange hashpartitioning\(k#\d+, _in#\d+L?, _folder#\d+, ", text)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", big)
+
+
 def test_quantiles_reach_infinity_and_large_whole_numbers(spark):
     df = spark.createDataFrame([("k", float("inf")), ("k", float("-inf")), ("k", 1.0)], "k string, v double")
     (row,) = quantile_columns(df, ["k"], "v", {"low": 0.0, "mid": 0.5, "high": 1.0}).collect()
